@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, splitting, tokenizing, topn
+from corpusmill.llm import distinctive, leakage, splitting, tokenizing, topn
 from corpusmill.runtime import table
 
 # --- 1: splitting oversized items ----------------------------------------------------------------
@@ -66,7 +66,18 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p8_ids, p8_spans)}
+# --- 9: leaked evaluation texts ------------------------------------------------------------------
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where(F.col("exact_run") >= leakage.MIN_RUN).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p8_ids, p8_spans, p9_found, p9_leaks)}
 
 _TERMS = r"""
 WITH unique_records AS (SELECT record_id, any_value(text) AS text FROM records WHERE record_id IS NOT NULL GROUP BY record_id),
@@ -83,7 +94,16 @@ SELECT source, artifact_id, surface_kind, score, disclosure_id,
 FROM (SELECT DISTINCT source, artifact_id, surface_kind, score, disclosure_id FROM disclosures
       WHERE artifact_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)) QUALIFY rank <= 3"""
 
+_GRAMS = r"""
+SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 12), ' ') AS gram FROM (
+    SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (
+        SELECT {key}, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS w
+        FROM {table}) WHERE len(w) >= 13)"""
+
 ORACLE_SQL = {
+    "p9_found": f"""
+SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key="doc_id", table="documents")}) d
+JOIN ({_GRAMS.format(key="item_id", table="benchmark")}) b USING (gram)""",
     "p1_found": r"""
 SELECT DISTINCT item, item_id FROM (
     SELECT 'surface' AS item, surface_id::VARCHAR AS item_id, text FROM surfaces UNION ALL
