@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, leakage, splitting, tokenizing, topn
+from corpusmill.llm import distinctive, leakage, neighbours, splitting, tokenizing, topn
 from corpusmill.runtime import table
 
 # --- 1: splitting oversized items ----------------------------------------------------------------
@@ -55,6 +55,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_ranked(spark, sf_dir).select("disclosure_id")
 
 
+# --- 4: most similar vectors ---------------------------------------------------------------------
+
+#: The cosine from which TESTDATA.md counts a pair; more similar rows rank first, so it prunes without loss.
+NEAR = 0.95
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.nearest(table(spark, sf_dir, "records"), min_cosine=NEAR)
+    a, b = F.least("record_id", "neighbour"), F.greatest("record_id", "neighbour")
+    return rows.select(a.alias("record_id_a"), b.alias("record_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every record, however far."""
+    return neighbours.nearest(table(spark, sf_dir, "records"))
+
+
 # --- 8: token ids --------------------------------------------------------------------------------
 
 
@@ -77,7 +94,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).where(F.col("exact_run") >= leakage.MIN_RUN).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p8_ids, p8_spans, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p8_ids, p8_spans, p9_found, p9_leaks)}
 
 _TERMS = r"""
 WITH unique_records AS (SELECT record_id, any_value(text) AS text FROM records WHERE record_id IS NOT NULL GROUP BY record_id),
@@ -101,6 +118,14 @@ SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 12), ' ') AS gram FR
         FROM {table}) WHERE len(w) >= 13)"""
 
 ORACLE_SQL = {
+    "p4_found": """
+WITH good AS (SELECT record_id, any_value(vector)::DOUBLE[] AS v FROM records
+              WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: x IS NULL OR isnan(x)))
+                AND list_bool_or(list_transform(vector, lambda x: x <> 0)) GROUP BY record_id),
+pairs AS (SELECT a.record_id AS x, b.record_id AS y, list_cosine_similarity(a.v, b.v) AS c
+          FROM good a JOIN good b ON a.record_id <> b.record_id),
+best AS (SELECT x, y, c FROM pairs QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM best WHERE c >= 0.95""",
     "p9_found": f"""
 SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key="doc_id", table="documents")}) d
 JOIN ({_GRAMS.format(key="item_id", table="benchmark")}) b USING (gram)""",
