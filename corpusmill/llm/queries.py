@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, leakage, neighbours, splitting, tokenizing, topn
+from corpusmill.llm import distinctive, leakage, markup, neighbours, splitting, tokenizing, topn
 from corpusmill.runtime import table
 
 # --- 1: splitting oversized items ----------------------------------------------------------------
@@ -72,6 +72,28 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "records"))
 
 
+# --- 5: markup residue ---------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every artifact's current raw and every surface's text, once; the site of a page is its source."""
+    artifacts = table(spark, sf_dir, "artifacts").select(F.lit("artifact").alias("item"), "source", F.col("artifact_id").alias("item_id"), F.col("modified_at").alias("at"), F.col("raw").alias("text"))
+    surfaces = table(spark, sf_dir, "surfaces").select(
+        F.lit("surface").alias("item"), "source", F.col("surface_id").cast("string").alias("item_id"), F.lit(None).cast("timestamp").alias("at"), "text"
+    )
+    rows = artifacts.unionByName(surfaces).groupBy("item", "source", "item_id").agg(F.max(F.struct("at", "text")).alias("last"))
+    return rows.select("item", "source", "item_id", F.col("last.text").alias("text"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = markup.converted(_pages(spark, sf_dir), ["item", "source", "item_id"], "source", "text")
+    return rows.select("item", "source", "item_id", F.concat_ws(",", "kinds").alias("kinds"), "clean")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clean(spark, sf_dir).where("kinds <> ''").select("item", "source", "item_id")
+
+
 # --- 8: token ids --------------------------------------------------------------------------------
 
 
@@ -94,7 +116,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).where(F.col("exact_run") >= leakage.MIN_RUN).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p8_ids, p8_spans, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p5_clean, p5_found, p8_ids, p8_spans, p9_found, p9_leaks)}
 
 _TERMS = r"""
 WITH unique_records AS (SELECT record_id, any_value(text) AS text FROM records WHERE record_id IS NOT NULL GROUP BY record_id),
@@ -117,7 +139,14 @@ SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 12), ' ') AS gram FR
         SELECT {key}, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS w
         FROM {table}) WHERE len(w) >= 13)"""
 
+_MARKED = " OR ".join(f"regexp_matches(text, '{pattern.replace(chr(39), chr(39) * 2)}')" for _, pattern in markup.CONSTRUCTS.values())
+
 ORACLE_SQL = {
+    "p5_found": f"""
+WITH current_rows AS (SELECT 'artifact' AS item, source, artifact_id AS item_id, raw AS text FROM artifacts
+                      QUALIFY row_number() OVER (PARTITION BY source, artifact_id ORDER BY modified_at DESC NULLS LAST, raw DESC NULLS LAST) = 1),
+pages AS (SELECT * FROM current_rows UNION SELECT 'surface', source, surface_id::VARCHAR, text FROM surfaces)
+SELECT DISTINCT item, source, item_id FROM pages WHERE {_MARKED}""",
     "p4_found": """
 WITH good AS (SELECT record_id, any_value(vector)::DOUBLE[] AS v FROM records
               WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: x IS NULL OR isnan(x)))
