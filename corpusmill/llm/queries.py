@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import distinctive, leakage, markup, neighbours, splitting, tokenizing, topn
+from corpusmill.llm import abuse, distinctive, leakage, markup, neighbours, splitting, tokenizing, topn
 from corpusmill.runtime import table
 
 # --- 1: splitting oversized items ----------------------------------------------------------------
@@ -116,7 +116,26 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).where(F.col("exact_run") >= leakage.MIN_RUN).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p5_clean, p5_found, p8_ids, p8_spans, p9_found, p9_leaks)}
+# --- 10: abusive content -------------------------------------------------------------------------
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents")).select("doc_id", F.round("score", 6).alias("score"), "worst")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of documents at or over the threshold, and mean score, per source."""
+    documents = table(spark, sf_dir, "documents")
+    scored = abuse.score_documents(documents).join(documents.select("doc_id", "source"), "doc_id")
+    flagged = F.avg((F.col("score") >= abuse.THRESHOLD).cast("int"))
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(flagged, 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p5_clean, p5_found, p8_ids, p8_spans, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
 
 _TERMS = r"""
 WITH unique_records AS (SELECT record_id, any_value(text) AS text FROM records WHERE record_id IS NOT NULL GROUP BY record_id),
