@@ -6,6 +6,7 @@ import re
 import unicodedata
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,8 +122,6 @@ def fold_string(text: str | None) -> str | None:
 
 def fold_text(text: Column) -> Column:
     """:func:`fold_string` in Arrow batches; ASCII rows take the JVM path."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def folded(s: pd.Series) -> pd.Series:
         return s.map(fold_string, na_action="ignore")

@@ -134,7 +134,8 @@ def tools(rows: DataFrame, spec: str = "spec", name: str = "tools", check: bool
     out = rows.select(
         F.lit(name).alias("source"), get("name").alias("artifact_id"), get("name").alias("name"), get("description").alias("description"),
         F.array_join(params, ",").alias("param_names"), schema.alias("schema"),
-    ).where(F.col("artifact_id").isNotNull())
+        (F.try_parse_json(j).isNotNull() & j.rlike(r"\}\s*$")).alias("__valid"),  # both parsers stop at the closing brace
+    ).where(F.col("artifact_id").isNotNull() & F.col("__valid")).drop("__valid")
     if check:
         twice = [r[0] for r in out.groupBy("artifact_id").count().where("count > 1").select("artifact_id").limit(5).collect()]
         if twice:
