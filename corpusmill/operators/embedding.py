@@ -23,9 +23,10 @@ def bucket(term, dim: int = DIM):
 def hashed(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """``(key, bucket, weight)``: the unit vector of hashed term counts, as sparse rows.
 
-    Each distinct term is hashed once: counts per term come first, then the (much smaller) vocabulary.
+    Rows are placed by key once; counting terms, adding up buckets and the norm all stay within a key, so no
+    further exchange follows. A term is hashed once per row that has it, not per occurrence.
     """
-    terms = rows.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = rows.select(key, text).repartition(key).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     counts = terms.select(key, bucket(F.col("term"), dim).alias("bucket"), "n").groupBy(key, "bucket").agg(F.sum("n").alias("n"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))

@@ -20,6 +20,8 @@ from corpusmill.functions.text import tokens
 DIGITS = 9
 K1, B = 1.5, 0.75
 RRF_K, ALPHA, SATURATION = 60, 0.5, 8.0
+#: So many (query, term) pairs of a batch are broadcast, some tens of bytes each; more are shuffled.
+BROADCAST_TERMS = 500_000
 
 
 def top(rows: DataFrame, k: int | None, score: str = "score", ties: tuple[str, ...] = ("record_id",), by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -41,19 +43,25 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     """Okapi BM25 of every record that shares a term with a query.
 
     N, document frequencies and the mean length are those of ``records``: filter first, then rank. Only terms
-    that some query has are counted; lengths are taken before that. The statistics are one row, the terms of a
-    query batch are small, so Spark answers these joins by broadcast when it sees their size.
+    that some query has are counted; lengths are taken before that.
+
+    The (query, term) pairs of the batch are counted. Up to ``BROADCAST_TERMS`` they are broadcast, and all
+    that is done per record stays where the record is: one exchange by record id, then counting, scoring,
+    adding up and the first cut to ``fetch`` run without another. Larger batches join by term.
     """
+    asked = query_terms(queries)
+    small = asked.count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else (lambda df: df)
     sized = records.select(F.col(key).alias("record_id"), tokens(F.col(text)).alias("__t")).withColumn("__dl", F.size("__t"))
     stats = sized.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"))
-    asked = query_terms(queries)
-    seen = sized.select("record_id", "__dl", F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    placed = sized.repartition("record_id") if small else sized
+    seen = placed.select("record_id", "__dl", F.explode("__t").alias("term")).join(hint(asked.select("term").distinct()), "term", "left_semi")
     postings = seen.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("__dl").alias("dl"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(frequency, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "__avg")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
-    scores = postings.join(weighted, "term").groupBy("qid", "record_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    scores = postings.join(hint(weighted), "term").groupBy("qid", "record_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return top(scores, fetch)
 
 
@@ -132,8 +140,14 @@ def _cosine_block(records: DataFrame, asked: list, fetch: int, dim: int, qid_fie
 
 
 def sparse_cosine(records: DataFrame, queries: DataFrame, fetch: int | None = None) -> DataFrame:
-    """Cosine of sparse unit vectors ``(record_id, bucket, weight)`` and ``(qid, bucket, weight)``: one equi-join."""
+    """Cosine of sparse unit vectors ``(record_id, bucket, weight)`` and ``(qid, bucket, weight)``: one equi-join.
+
+    A batch of up to ``BROADCAST_TERMS`` query entries is broadcast, so that dot products add up where the
+    record lies; a larger one is shuffled by bucket.
+    """
     q = queries.select("qid", "bucket", F.col("weight").alias("__w"))
+    if q.count() <= BROADCAST_TERMS:
+        q = F.broadcast(q)
     dots = records.join(q, "bucket").groupBy("qid", "record_id").agg(F.round(F.sum(F.col("weight") * F.col("__w")), DIGITS).alias("score"))
     return top(dots, fetch)
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core_problems", "ranking", "surfaces", "selection", "graph", "evaluation", "maintenance")
+MODULES = ("core_problems", "ranking", "surfaces", "selection", "graph", "evaluation", "maintenance", "seams")
 
 
 def _gather(attribute: str) -> dict:
