@@ -26,21 +26,22 @@ def _values(op: str, value) -> list:
     return list(value)
 
 
+# Comparisons stay bare, so that they reach the scan; their null (a missing field) matches nothing in a filter.
 _COMPARE: dict[str, Callable[[Column, object], Column]] = {
-    "$eq": lambda c, v: _true(c == v) if v is not None else c.isNull(),
-    "$ne": lambda c, v: ~_true(c == v) if v is not None else c.isNotNull(),
-    "$gt": lambda c, v: _true(c > v),
-    "$gte": lambda c, v: _true(c >= v),
-    "$lt": lambda c, v: _true(c < v),
-    "$lte": lambda c, v: _true(c <= v),
-    "$in": lambda c, v: _true(c.isin(_values("$in", v))),
-    "$nin": lambda c, v: ~_true(c.isin(_values("$nin", v))),
+    "$eq": lambda c, v: (c == v) if v is not None else c.isNull(),
+    "$ne": lambda c, v: (c.isNull() | (c != v)) if v is not None else c.isNotNull(),
+    "$gt": lambda c, v: c > v,
+    "$gte": lambda c, v: c >= v,
+    "$lt": lambda c, v: c < v,
+    "$lte": lambda c, v: c <= v,
+    "$in": lambda c, v: c.isin(_values("$in", v)),
+    "$nin": lambda c, v: c.isNull() | ~c.isin(_values("$nin", v)),
     "$exists": lambda c, v: c.isNotNull() if v else c.isNull(),
 }
 
 
 def compile_filter(spec: Mapping | None, field: Field = F.col) -> Column:
-    """The filter as a Column that is never null. ``field`` names a field's column (or map entry)."""
+    """The filter as a Column for ``where`` (null counts as no match). ``field`` names a field's column (or map entry)."""
     if not spec:
         return F.lit(True)
     if not isinstance(spec, Mapping):
@@ -53,7 +54,7 @@ def compile_filter(spec: Mapping | None, field: Field = F.col) -> Column:
                 raise ValueError(f"{key} is empty")
             parts.append(reduce(Column.__and__ if key == "$and" else Column.__or__, inner))
         elif key == "$not":
-            parts.append(~compile_filter(value, field))
+            parts.append(~_true(compile_filter(value, field)))
         elif key.startswith("$"):
             raise ValueError(f"unknown operator {key}")
         elif isinstance(value, Mapping):
