@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 WORDS = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 MIN_RUN = 13
-#: Positions that count, 1, and are ignored, 0. Spans are MIN_RUN at most, so exact runs are never missed.
+#: Positions that count, 1, and are ignored, 0. Spans are MIN_RUN at most, so exact runs are never missed; any one
+#: replaced word in a window of MIN_RUN leaves some mask unharmed (tested).
 MASKS = ("1110110111", "1101001100101", "1011100010111", "111010010111")
 SEED_BOUND = 2_000_000
 #: A stretch with substitutions ends where mismatches outweigh: +1 a match, -MISS a mismatch.
