@@ -32,8 +32,9 @@ CURVES, AXES, BITS = 8, 12, 4
 BLOCK, HALO = 256, 64
 #: A code's cosine is this near the exact one for all practical vectors; candidates get that much grace.
 GRACE = 0.02
-#: Proposals kept per row and window beyond ``k``, for the exact rerank to choose from.
-SPARE = 8
+#: Proposals kept per row beyond ``k``, for the exact rerank to choose from: by a window with a floor, and by the
+#: merge; and by a window without a floor, where every row of every window proposes.
+SPARE, SPARE_OPEN = 8, 3
 SEED = 20_240_229
 
 
@@ -137,8 +138,8 @@ def _coded(rows: DataFrame, curves: Curves, dim: int) -> DataFrame:
     return rows.select("id", "vector").mapInArrow(run, T.StructType([T.StructField("place", T.LongType()), id_field, T.StructField("code", T.BinaryType())]))
 
 
-def _windows(ordered: DataFrame, dim: int, k: int, floor: float) -> DataFrame:
-    """``(a, b)`` with a < b: what the windows propose. A partition is streamed; HALO rows are carried on."""
+def _windows(ordered: DataFrame, dim: int, most: int, floor: float) -> DataFrame:
+    """``(a, b, approx)`` with a < b: what the windows propose. A partition is streamed; HALO rows are carried on."""
     id_type = ordered.schema["id"].dataType
 
     def run(batches):
@@ -151,22 +152,24 @@ def _windows(ordered: DataFrame, dim: int, k: int, floor: float) -> DataFrame:
             fresh /= np.linalg.norm(fresh, axis=1, keepdims=True)
             ids = batch.column(1).to_pylist()
             every, names = np.concatenate([held, fresh]), names + ids
-            old, a, b = len(held), [], []
+            old, a, b, c = len(held), [], [], []
             for at in range(old, len(every), BLOCK):
                 low, end = max(0, at - HALO), min(at + BLOCK, len(every))
                 s = every[at:end] @ every[low:end].T
                 s[np.arange(end - at), np.arange(at - low, end - low)] = -2  # itself
                 s[:, at - low :][np.tril_indices(end - at)] = -2  # each pair of the block once
-                x, y = _best_of(s, k + SPARE, floor)
+                x, y = _best_of(s, most, floor)
                 a += (x + at).tolist()
                 b += (y + low).tolist()
-            pairs = [(names[i], names[j]) if names[i] < names[j] else (names[j], names[i]) for i, j in zip(a, b) if names[i] != names[j]]
+                c += s[x, y].tolist()
+            pairs = [(*((names[i], names[j]) if names[i] < names[j] else (names[j], names[i])), v) for i, j, v in zip(a, b, c) if names[i] != names[j]]
             if pairs:
-                left, right = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(left, batch.column(1).type), pa.array(right, batch.column(1).type)], ["a", "b"])
+                left, right, close = zip(*pairs)
+                kind = batch.column(1).type
+                yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind), pa.array(close, pa.float32())], ["a", "b", "approx"])
             held, names = every[-HALO:], names[-HALO:]
 
-    return ordered.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+    return ordered.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("approx", T.FloatType())]))
 
 
 def _best_of(s: np.ndarray, most: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +222,13 @@ def nearest(
     mean, covariance = _moments(good, vector, dim)
     # one sort by place gives every partition a stretch of one or two curves
     ordered = _coded(single, Curves(mean, covariance, curves, axes, bits, seed), dim).repartitionByRange("place").sortWithinPartitions("place")
-    floor = -1.5 if min_cosine is None else min_cosine - GRACE
-    pairs = _windows(ordered, dim, k, floor).distinct()
+    if min_cosine is None:
+        proposed = _windows(ordered, dim, k + SPARE_OPEN, -1.5).groupBy("a", "b").agg(F.max("approx").alias("approx"))
+        both = proposed.unionByName(proposed.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx"))
+        short = top_n(both, ["a"], "approx", "b", k + SPARE)  # the merge, by the codes' cosine, before vectors move
+        pairs = short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    else:
+        pairs = _windows(ordered, dim, k + SPARE, min_cosine - GRACE).select("a", "b").distinct()
     scored = _cosines(pairs, single, dim)
     if min_cosine is not None:
         scored = scored.where(F.col("cosine") >= min_cosine)
