@@ -9,19 +9,17 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.changelog import _Files
+from corpusmill.runtime import SharedFiles
 
 CASE = "query string, gold array<string>, corpus string, source_id string, __meta__ string"
 
 
 def save_cases(spark: SparkSession, folder: str, name: str, cases: Iterable[Mapping], meta: Mapping | None = None) -> str:
     """One file of hand-sized cases: a header line, then a case a line. Replaces an older one."""
-    files = _Files(spark, folder)
+    files = SharedFiles(spark, folder)
     lines = [json.dumps({"__meta__": dict(meta or {})}, sort_keys=True), *(json.dumps(dict(c), ensure_ascii=False, sort_keys=True) for c in cases)]
     file = f"{name}.jsonl"
-    if files.fs.exists(files.path(file)):
-        files.fs.delete(files.path(file), False)
-    files.publish(file, "\n".join(lines) + "\n")
+    files.replace(file, "\n".join(lines) + "\n")
     return f"{folder.rstrip('/')}/{file}"
 
 

@@ -27,6 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import SharedFiles
+
 KEY = ["source", "artifact_id"]
 
 
@@ -88,43 +90,11 @@ class Batch:
         return json.dumps({"number": self.number, "start": self.start, "end": self.end}, sort_keys=True)
 
 
-class _Files:
-    """Small files in the shared folder through Hadoop's file system API (any scheme the cluster has)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self.jvm, self.root = jvm, jvm.org.apache.hadoop.fs.Path(root)
-        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self.root)
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
-
-    def names(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.root))
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def publish(self, name: str, text: str) -> None:
-        """Written aside, then renamed: readers see all of it or nothing."""
-        aside = self.path(f".{name}.tmp")
-        stream = self.fs.create(aside, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if not self.fs.rename(aside, self.path(name)):
-            raise OSError(f"{name} is there already: another run has published it")
-
-
 class ChangeCapture:
     """Plans, replays and commits batches over the log of one table."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root, _Files(spark, root + "/wal")
+        self.spark, self.root, self.files = spark, root, SharedFiles(spark, root + "/wal")
 
     def _numbers(self, kind: str) -> list[int]:
         return sorted(int(n[len(kind) + 1 : -5]) for n in self.files.names() if n.startswith(kind + "-") and n.endswith(".json"))

@@ -92,3 +92,47 @@ def free_name(df_columns: list[str], base: str) -> str:
         k += 1
         name = f"{base}_{k}"
     return name
+
+
+class SharedFiles:
+    """Small files in the shared folder through Hadoop's file system API (any scheme the cluster has)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        jvm = spark.sparkContext._jvm
+        self.gateway = spark.sparkContext._gateway
+        self.jvm, self.root = jvm, jvm.org.apache.hadoop.fs.Path(root)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self.root)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.root))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """Written aside, then renamed: readers see all of it or nothing."""
+        if not self.fs.rename(self._aside(name, text), self.path(name)):
+            raise OSError(f"{name} is there already: another run has published it")
+
+    def replace(self, name: str, text: str) -> None:
+        """Written aside, then renamed over the old file in one step."""
+        hadoop = self.jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self.root.toUri(), self.fs.getConf())
+        overwrite = self.gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        context.rename(self._aside(name, text), self.path(name), overwrite)
+
+    def _aside(self, name: str, text: str):
+        aside = self.path(f".{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(aside, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return aside

@@ -13,8 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.changelog import _Files
 from corpusmill.operators.embedding import normalised
+from corpusmill.runtime import SharedFiles
 
 RECORDS = (
     "source string, record_id string, artifact_id string, surface_kind string, surface_index int, granularity string, text string, vector array<float>, metadata map<string,string>"
@@ -29,17 +29,14 @@ class CorpusStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.files = _Files(spark, self.root)
+        self.files = SharedFiles(spark, self.root)
 
     # small documents: configuration, calibration, maintenance state
 
     def put_document(self, name: str, content: Mapping) -> None:
         if not name or "/" in name or "\\" in name or name.startswith("."):
             raise ValueError(f"no name for a document: {name!r}")
-        file, path = f"{name}.json", self.files.path(f"{name}.json")
-        if self.files.fs.exists(path):
-            self.files.fs.delete(path, False)
-        self.files.publish(file, json.dumps(dict(content), sort_keys=True))
+        self.files.replace(f"{name}.json", json.dumps(dict(content), sort_keys=True))
 
     def get_document(self, name: str) -> dict | None:
         return json.loads(self.files.read(f"{name}.json")) if f"{name}.json" in self.files.names() else None

@@ -4,7 +4,7 @@ from hashlib import sha256
 import pytest
 
 from corpusmill.operators import changelog
-from corpusmill.runtime import scratch_path
+from corpusmill.runtime import SharedFiles, scratch_path
 
 T0 = datetime(2024, 1, 1)
 ARTIFACTS = "source string, artifact_id string, raw string, modified_at timestamp, delivered_at timestamp"
@@ -74,7 +74,7 @@ def test_failure_replays_the_same_batch(spark):
 
 def test_two_planners_cannot_publish_one_batch(spark):
     root = scratch_path(spark, "wal")
-    files = changelog._Files(spark, root)
+    files = SharedFiles(spark, root)
     files.publish("plan-0.json", "{}")
     with pytest.raises(OSError):
         files.publish("plan-0.json", "{}")
