@@ -101,23 +101,30 @@ def cosine(records: DataFrame, queries: DataFrame, fetch: int, dim: int, key: st
 
 
 def _cosine_block(records: DataFrame, asked: list, fetch: int, dim: int, qid_field: T.StructField, key_field: T.StructField) -> DataFrame:
-    qids = [r[0] for r in asked]
     q = np.array([r[1] for r in asked], np.float64).reshape(-1, dim)
     q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    return _stream_top(records, [r[0] for r in asked], q, lambda batch, q: q @ _unit(batch.column(1), dim).T, fetch, qid_field, key_field)
+
+
+def _stream_top(records: DataFrame, qids: list, q: np.ndarray, score, fetch: int, qid_field: T.StructField, key_field: T.StructField, least: float = -np.inf) -> DataFrame:
+    """``(qid, record_id, score)``: the ``fetch`` best rows over ``least`` of each query within each partition of ``records``.
+
+    ``score(batch, q)`` gives the scores of a batch, a row per query. The state is ``fetch`` rows a query.
+    """
     held = records.sparkSession.sparkContext.broadcast((qids, q))
     schema = T.StructType([qid_field, key_field, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         qids, q = held.value
         best: list[list[tuple[float, object]]] = [[] for _ in qids]
-        floor = np.full(len(qids), -np.inf)
+        floor = np.full(len(qids), np.nextafter(least, np.inf) if np.isfinite(least) else least)
         types = None
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not qids:
                 continue
             types = batch.column(0).type
             ids = batch.column(0).to_pylist()
-            s = np.round(q @ _unit(batch.column(1), dim).T, DIGITS)
+            s = np.round(score(batch, q), DIGITS)
             if s.shape[1] > fetch:  # nothing under a row's own fetch-th value can be among its first
                 floor = np.maximum(floor, -np.partition(-s, fetch - 1, axis=1)[:, fetch - 1])
             rows, cols = np.nonzero(s >= floor[:, None])
@@ -140,16 +147,31 @@ def _cosine_block(records: DataFrame, asked: list, fetch: int, dim: int, qid_fie
 
 
 def sparse_cosine(records: DataFrame, queries: DataFrame, fetch: int | None = None) -> DataFrame:
-    """Cosine of sparse unit vectors ``(record_id, bucket, weight)`` and ``(qid, bucket, weight)``: one equi-join.
+    """Cosine of sparse unit vectors ``(record_id, bucket, weight)`` and ``(qid, bucket, weight)``; pairs without a common bucket have none.
 
-    A batch of up to ``BROADCAST_TERMS`` query entries is broadcast, so that dot products add up where the
-    record lies; a larger one is shuffled by bucket.
+    With a depth and up to ``QUERY_BLOCK`` queries, a task multiplies its records with the queries' matrix and
+    keeps ``fetch`` rows a query. Else it is one equi-join by bucket.
     """
-    q = queries.select("qid", "bucket", F.col("weight").alias("__w"))
-    if q.count() <= BROADCAST_TERMS:
-        q = F.broadcast(q)
-    dots = records.join(q, "bucket").groupBy("qid", "record_id").agg(F.round(F.sum(F.col("weight") * F.col("__w")), DIGITS).alias("score"))
-    return top(dots, fetch)
+    held = queries.select("qid", "bucket", "weight")
+    if fetch is None or held.select("qid").distinct().count() > QUERY_BLOCK:
+        dots = records.join(held.withColumnRenamed("weight", "__w"), "bucket").groupBy("qid", "record_id")
+        return top(dots.agg(F.round(F.sum(F.col("weight") * F.col("__w")), DIGITS).alias("score")), fetch)
+    asked = held.groupBy("qid").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w")).collect()
+    dim = 1 + max((max(r["b"]) for r in asked), default=0)
+    q = np.zeros((len(asked), dim))
+    for i, r in enumerate(asked):
+        q[i, r["b"]] = r["w"]
+
+    def score(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+        buckets, weights = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+        asked_for = buckets < q.shape[1]  # no query has a bucket beyond
+        m = np.zeros((batch.num_rows, q.shape[1]))
+        m[rows[asked_for], buckets[asked_for]] = weights[asked_for]
+        return q @ m.T
+
+    packed = records.groupBy("record_id").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))
+    return top(_stream_top(packed, [r["qid"] for r in asked], q, score, fetch, queries.schema["qid"], records.schema["record_id"], least=0.0), fetch)
 
 
 # --- fusion --------------------------------------------------------------------------------------

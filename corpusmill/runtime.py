@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -72,9 +73,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a written table."""
-    return f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a written table. It is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_sweep)
+    _scratch.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            if spark.sparkContext._jsc is not None:
+                folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the session is gone: the folder's owner cleans up
+            return
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
