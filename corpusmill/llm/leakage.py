@@ -149,9 +149,9 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key
     ``exact_run``: longest run of equal consecutive words; ``matched`` of ``stretch`` words equal in the best
     stretch with substitutions. A row has a run of ``min_run`` or more, or ``MIN_MATCHED`` matches or more.
     """
-    # an upper bound of the seeds: a word takes a letter and a separator
+    # an upper bound of the seeds: a word takes a letter and a separator at least
     size = items.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    if size / 2 * len(MASKS) > seed_bound * 2:
+    if (size + 1) // 2 * len(MASKS) > seed_bound:
         return _leaked_by_join(documents, items, key, item_key, text, min_run)
     rows = items.select(item_key, text).dropna().distinct().collect()  # bounded by the check above
     index = SeedIndex([(r[0], words_of(r[1])) for r in rows])
