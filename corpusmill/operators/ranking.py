@@ -46,11 +46,13 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     that some query has are counted; lengths are taken before that.
 
     The (query, term) pairs of the batch are counted. Up to ``BROADCAST_TERMS`` they are broadcast, and all
-    that is done per record stays where the record is: one exchange by record id, then counting, scoring,
-    adding up and the first cut to ``fetch`` run without another. Larger batches join by term.
+    that is done per record stays where the record is: one exchange by record id, then counting, scoring and
+    the first cut to ``fetch`` run without another. With a depth and a matrix of queries by terms of up to
+    ``MATRIX_CELLS``, adding up is a matrix product in Arrow batches. Larger batches join by term.
     """
     asked = query_terms(queries)
-    small = asked.count() <= BROADCAST_TERMS
+    n_pairs = asked.count()
+    small = n_pairs <= BROADCAST_TERMS
     hint = F.broadcast if small else (lambda df: df)
     sized = records.select(F.col(key).alias("record_id"), tokens(F.col(text)).alias("__t")).withColumn("__dl", F.size("__t"))
     stats = sized.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"))
@@ -59,12 +61,43 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     postings = seen.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("__dl").alias("dl"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(frequency, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "__avg")
+    rated = frequency.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "__avg")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
-    scores = postings.join(hint(weighted), "term").groupBy("qid", "record_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    if fetch is not None and small:
+        pairs = asked.collect()  # at most BROADCAST_TERMS
+        qids, terms = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
+        if len(qids) * len(terms) <= MATRIX_CELLS and len(qids) <= QUERY_BLOCK:
+            return _bm25_product(postings, rated, part, pairs, qids, terms, fetch, queries.schema["qid"])
+    scores = postings.join(hint(asked.join(rated, "term")), "term").groupBy("qid", "record_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return top(scores, fetch)
 
 
+#: Cells of the matrix of queries by terms that a task holds (8 bytes each), and of records by terms at a time.
+MATRIX_CELLS, RECORD_CELLS = 8_000_000, 4_000_000
+
+
+def _bm25_product(postings: DataFrame, rated: DataFrame, part: Column, pairs: list, qids: list, terms: list, fetch: int, qid_field: T.StructField) -> DataFrame:
+    at, column = {q: i for i, q in enumerate(qids)}, {t: i for i, t in enumerate(terms)}
+    q = np.zeros((len(qids), len(terms)))
+    for r in pairs:
+        q[at[r[0]], column[r[1]]] = 1.0
+    numbered = postings.sparkSession.createDataFrame(list(column.items()), "term string, place int").join(rated, "term")
+    weights = postings.join(F.broadcast(numbered), "term").groupBy("record_id").agg(F.collect_list("place").alias("p"), F.collect_list(part).alias("w"))
+
+    def score(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+        places, values = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+        out, step = np.zeros((len(q), batch.num_rows)), max(1, RECORD_CELLS // max(1, q.shape[1]))
+        for low in range(0, batch.num_rows, step):
+            mine = (rows >= low) & (rows < low + step)
+            m = np.zeros((min(step, batch.num_rows - low), q.shape[1]))
+            m[rows[mine] - low, places[mine]] = values[mine]
+            out[:, low : low + len(m)] = q @ m.T
+        return out
+
+    return top(_stream_top(weights, qids, q, score, fetch, qid_field, postings.schema["record_id"], least=0.0), fetch)
+
+
 # --- dense ---------------------------------------------------------------------------------------
 
 #: So many queries are held by a task at once; larger batches are cut into blocks by the hash of their id.
