@@ -95,7 +95,7 @@ def test_documents_are_told_apart(spark, corpus):
     assert abuse.score_documents(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text, word", [("d i p s h i t", "dipshit"), ("n4k3d", "naked"), ("l***r", "loser"), ("moroooon", "moron"), ("mоrоn", "moron"), ("i​d​i​o​t", "idiot"), ("ＭＯＲＯＮ", "moron")])
+@pytest.mark.parametrize("text, word", [("d i p s h i t", "dipshit"), ("n4k3d", "naked"), ("l***r", "loser"), ("moroooon", "moron"), ("mоrоn", "moron"), ("i​d​i​o​t", "idiot"), ("ＭＯＲＯＮ", "moron"), ("a h.a.l.f.w.i.t", "halfwit"), ("s****d", "stupid")])
 def test_disguises(text, word):
     assert word in abuse.reveal(abuse.fold(text)).split()
 
