@@ -213,8 +213,10 @@ def nearest(
     if curves.bit_length() + axes * bits > 62:
         raise ValueError("the key of an ordering must fit in 62 bits")
     good = usable(df, key, vector, dim)
-    last = F.max_by(vector, order_by) if order_by else F.first(vector)
-    unique = good.groupBy(F.col(key).alias("id")).agg(last.alias("vector"))
+    # the latest delivery; the struct keeps rows whose time is null, and decides equal times by the vector
+    order = F.col(order_by) if order_by else F.lit(0)
+    last = good.groupBy(F.col(key).alias("id")).agg(F.max(F.struct(order.alias("o"), F.col(vector).alias("v"))).alias("last"))
+    unique = last.select("id", F.col("last.v").alias("vector"))
     # copies: classes of equal vectors, by 128 bits of hash; the class is known by its smallest id
     hashed = unique.select("id", F.md5(F.to_json("vector")).alias("h"))
     classes = hashed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
