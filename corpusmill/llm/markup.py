@@ -137,24 +137,29 @@ def without(text: str, hashes: set[int]) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Stands for the page itself among its subtrees, so that one pass counts both.
+_PAGE = 0
+
+
 def templates(pages: DataFrame, host: str, text: str) -> DataFrame:
     """``(host, hashes)``: the subtrees of each host's template. One row of ``pages`` is one page."""
-    kept = pages.where(F.col(text).contains("</"))
 
     def run(batches):
         for batch in batches:
             rows, hashes = [], []
             for r, t in enumerate(batch.column(1).to_pylist()):
-                own = {h for h, _, _ in subtrees(t)}
+                own = {h for h, _, _ in subtrees(t)} | {_PAGE}
                 rows += [r] * len(own)
                 hashes += own
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hashes, pa.int64())], ["host", "hash"])
 
-    found = kept.select(F.col(host).alias("host"), text).mapInArrow(run, T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType())]))
+    kept = pages.where(F.col(text).contains("</")).select(F.col(host).alias("host"), text)
+    found = kept.mapInArrow(run, T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType())]))
     counts = found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    sizes = kept.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("of"))
-    frequent = counts.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("of"))
+    # per host: its pages, and its frequent subtrees; a subtree on MIN_PAGES pages is kept with its count until the share is known
+    per = counts.groupBy("host").agg(F.max(F.when(F.col("hash") == _PAGE, F.col("pages"))).alias("of"))
+    frequent = counts.where(F.col("hash") != _PAGE).join(per, "host").where(F.col("pages") >= SHARE * F.col("of"))
     return frequent.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
