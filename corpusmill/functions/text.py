@@ -92,9 +92,12 @@ def mentions(text: Column, term: Column) -> Column:
 
 
 def longest_overlap(left: Column, right: Column, least: int = 8, most: int = 4000) -> Column:
-    """Length of the longest end of ``left`` that begins ``right`` (at least ``least``), else 0."""
+    """Length of the longest end of ``left`` that begins ``right`` (at least ``least``), else 0.
+
+    Lengths are tried only where ``left`` holds the first ``least`` characters of ``right`` at all.
+    """
     top = F.least(F.length(left), F.length(right), F.lit(most))
-    sizes = F.when(top >= least, F.sequence(top, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    sizes = F.when((top >= least) & F.contains(left, F.left(right, F.lit(least))), F.sequence(top, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     hits = F.filter(sizes, lambda n: F.right(left, n) == F.left(right, n))
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0))
 

@@ -54,10 +54,11 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     n_pairs = asked.count()
     small = n_pairs <= BROADCAST_TERMS
     hint = F.broadcast if small else (lambda df: df)
-    sized = records.select(F.col(key).alias("record_id"), tokens(F.col(text)).alias("__t")).withColumn("__dl", F.size("__t"))
+    texts = records.select(F.col(key).alias("record_id"), F.col(text).alias("__x"))
+    texts = texts.repartition("record_id") if small else texts  # texts move, not their terms; splitting them is spread evenly
+    sized = texts.select("record_id", tokens(F.col("__x")).alias("__t")).withColumn("__dl", F.size("__t"))
     stats = sized.agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avg"))
-    placed = sized.repartition("record_id") if small else sized
-    seen = placed.select("record_id", "__dl", F.explode("__t").alias("term")).join(hint(asked.select("term").distinct()), "term", "left_semi")
+    seen = sized.select("record_id", "__dl", F.explode("__t").alias("term")).join(hint(asked.select("term").distinct()), "term", "left_semi")
     postings = seen.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("__dl").alias("dl"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
