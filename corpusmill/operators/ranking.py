@@ -51,8 +51,8 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     ``MATRIX_CELLS``, adding up is a matrix product in Arrow batches. Larger batches join by term.
     """
     asked = query_terms(queries)
-    n_pairs = asked.count()
-    small = n_pairs <= BROADCAST_TERMS
+    pairs = asked.limit(BROADCAST_TERMS + 1).collect()  # one more than fits tells that the batch is larger
+    small = len(pairs) <= BROADCAST_TERMS
     hint = F.broadcast if small else (lambda df: df)
     texts = records.select(F.col(key).alias("record_id"), F.col(text).alias("__x"))
     texts = texts.repartition("record_id") if small else texts  # texts move, not their terms; splitting them is spread evenly
@@ -65,7 +65,6 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     rated = frequency.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "__avg")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
     if fetch is not None and small:
-        pairs = asked.collect()  # at most BROADCAST_TERMS
         qids, terms = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})
         if len(qids) * len(terms) <= MATRIX_CELLS and len(qids) <= QUERY_BLOCK:
             return _bm25_product(postings, rated, part, pairs, qids, terms, fetch, queries.schema["qid"])
@@ -187,10 +186,11 @@ def sparse_cosine(records: DataFrame, queries: DataFrame, fetch: int | None = No
     keeps ``fetch`` rows a query. Else it is one equi-join by bucket.
     """
     held = queries.select("qid", "bucket", "weight")
-    if fetch is None or held.select("qid").distinct().count() > QUERY_BLOCK:
+    whole = held.groupBy("qid").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))
+    asked = [] if fetch is None else whole.limit(QUERY_BLOCK + 1).collect()
+    if fetch is None or len(asked) > QUERY_BLOCK:
         dots = records.join(held.withColumnRenamed("weight", "__w"), "bucket").groupBy("qid", "record_id")
         return top(dots.agg(F.round(F.sum(F.col("weight") * F.col("__w")), DIGITS).alias("score")), fetch)
-    asked = held.groupBy("qid").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w")).collect()
     dim = 1 + max((max(r["b"]) for r in asked), default=0)
     q = np.zeros((len(asked), dim))
     for i, r in enumerate(asked):
