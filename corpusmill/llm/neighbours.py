@@ -35,6 +35,8 @@ GRACE = 0.02
 #: Proposals kept per row beyond ``k``, for the exact rerank to choose from: by a window with a floor, and by the
 #: merge; and by a window without a floor, where every row of every window proposes.
 SPARE, SPARE_OPEN = 8, 3
+#: Without a floor also far neighbours count, which a curve keeps together less often: more of them, wider windows.
+CURVES_OPEN, HALO_OPEN = 16, 768
 SEED = 20_240_229
 
 
@@ -138,19 +140,31 @@ def _coded(rows: DataFrame, curves: Curves, dim: int) -> DataFrame:
     return rows.select("id", "vector").mapInArrow(run, T.StructType([T.StructField("place", T.LongType()), id_field, T.StructField("code", T.BinaryType())]))
 
 
-def _windows(ordered: DataFrame, dim: int, most: int, floor: float) -> DataFrame:
+def _by_curve(batches, shift: int):
+    """The batches cut where another ordering begins: ``(starts anew, ids, unit codes, id type)``. A window stays within one."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        curve = batch.column(0).to_numpy() >> shift
+        cuts = [0, *(np.flatnonzero(curve[1:] != curve[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int8).reshape(b - a, -1).astype(np.float32)
+            yield curve[a] != last, part.column(1).to_pylist(), codes / np.linalg.norm(codes, axis=1, keepdims=True), batch.column(1).type
+            last = curve[a]
+
+
+def _windows(ordered: DataFrame, dim: int, most: int, floor: float, shift: int) -> DataFrame:
     """``(a, b, approx)`` with a < b: what the windows propose. A partition is streamed; HALO rows are carried on."""
     id_type = ordered.schema["id"].dataType
 
     def run(batches):
         held = np.zeros((0, dim), np.float32)
         names: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-            fresh /= np.linalg.norm(fresh, axis=1, keepdims=True)
-            ids = batch.column(1).to_pylist()
+        for anew, ids, fresh, kind in _by_curve(batches, shift):
+            if anew:
+                held, names = held[:0], []
             every, names = np.concatenate([held, fresh]), names + ids
             old, a, b, c = len(held), [], [], []
             for at in range(old, len(every), BLOCK):
@@ -165,13 +179,62 @@ def _windows(ordered: DataFrame, dim: int, most: int, floor: float) -> DataFrame
             pairs = [(*((names[i], names[j]) if names[i] < names[j] else (names[j], names[i])), v) for i, j, v in zip(a, b, c) if names[i] != names[j]]
             if pairs:
                 left, right, close = zip(*pairs)
-                kind = batch.column(1).type
                 yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind), pa.array(close, pa.float32())], ["a", "b", "approx"])
             held, names = every[-HALO:], names[-HALO:]
 
     return ordered.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("approx", T.FloatType())]))
 
 
+def _windows_open(ordered: DataFrame, dim: int, most: int, halo: int, shift: int) -> DataFrame:
+    """``(a, b, approx)`` with a < b: the ``most`` best of each row among ``halo`` rows on either side, in stream order.
+
+    A row's list grows while it is in the halo and is emitted when it leaves: ``most`` rows a row, whatever the halo.
+    """
+    id_type = ordered.schema["id"].dataType
+
+    def best(s: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = min(most, s.shape[1])
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(s, at, 1), names[at]
+
+    def run(batches):
+        kind, held, names = None, np.zeros((0, dim), np.float32), np.zeros(0, object)
+        values, others = np.zeros((0, most), np.float32), np.zeros((0, most), object)
+
+        def out(n: int):
+            rows = [(min(a, b), max(a, b), v) for a, bs, vs in zip(names[:n], others[:n], values[:n]) for b, v in zip(bs, vs) if v > -2 and a != b]
+            a, b, v = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(v, pa.float32())], ["a", "b", "approx"])
+
+        for anew, listed, fresh, kind in _by_curve(batches, shift):
+            ids = np.array(listed, object)
+            if anew and len(held):
+                yield out(len(held))
+                held, names, values, others = held[:0], names[:0], values[:0], others[:0]
+            for at in range(0, len(fresh), BLOCK):
+                block, own, h = fresh[at : at + BLOCK], ids[at : at + BLOCK], len(held)
+                every, known = np.concatenate([held, block]), np.concatenate([names, own])
+                s = block @ every.T
+                s[np.arange(len(block)), h + np.arange(len(block))] = -2  # itself
+                new_values, new_others = np.full((len(block), most), -2, np.float32), np.full((len(block), most), None, object)
+                v, o = best(s, known)
+                new_values[:, : v.shape[1]], new_others[:, : v.shape[1]] = v, o
+                if h:
+                    v, o = best(s[:, :h].T, own)
+                    both_v, both_o = np.concatenate([values, v], 1), np.concatenate([others, o], 1)
+                    pick = np.argpartition(-both_v, most - 1, axis=1)[:, :most]
+                    values, others = np.take_along_axis(both_v, pick, 1), np.take_along_axis(both_o, pick, 1)
+                held, names, values, others = every, known, np.concatenate([values, new_values]), np.concatenate([others, new_others])
+                leave = len(held) - halo
+                if leave > 0:
+                    yield out(leave)
+                    held, names, values, others = held[leave:], names[leave:], values[leave:], others[leave:]
+        if len(held):
+            yield out(len(held))
+
+    return ordered.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("approx", T.FloatType())]))
+
+
 def _best_of(s: np.ndarray, most: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Entries of at least ``floor`` that are among the ``most`` greatest of their row or of their column."""
     x, y = np.nonzero(s >= floor)
@@ -203,13 +266,15 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 def nearest(
     df: DataFrame, k: int = 5, dim: int = 64, key: str = "record_id", vector: str = "vector", order_by: str | None = "ingested_at",
-    min_cosine: float | None = None, curves: int = CURVES, axes: int = AXES, bits: int = BITS, seed: int = SEED,
+    min_cosine: float | None = None, curves: int | None = None, axes: int = AXES, bits: int = BITS, seed: int = SEED,
 ) -> DataFrame:
     """``(key, rank, neighbour, cosine)``: the ``k`` most similar other rows of each row.
 
     With ``min_cosine`` only neighbours at least that similar come out; those are then the same as without
     it, since more similar rows rank before. All rows are indexed and all search.
     """
+    curves = curves or (CURVES_OPEN if min_cosine is None else CURVES)
+    axes = min(axes, dim)
     if curves.bit_length() + axes * bits > 62:
         raise ValueError("the key of an ordering must fit in 62 bits")
     good = usable(df, key, vector, dim)
@@ -225,12 +290,12 @@ def nearest(
     # one sort by place gives every partition a stretch of one or two curves
     ordered = _coded(single, Curves(mean, covariance, curves, axes, bits, seed), dim).repartitionByRange("place").sortWithinPartitions("place")
     if min_cosine is None:
-        proposed = _windows(ordered, dim, k + SPARE_OPEN, -1.5).groupBy("a", "b").agg(F.max("approx").alias("approx"))
+        proposed = _windows_open(ordered, dim, k + SPARE_OPEN, HALO_OPEN, axes * bits).groupBy("a", "b").agg(F.max("approx").alias("approx"))
         both = proposed.unionByName(proposed.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx"))
         short = top_n(both, ["a"], "approx", "b", k + SPARE)  # the merge, by the codes' cosine, before vectors move
         pairs = short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     else:
-        pairs = _windows(ordered, dim, k + SPARE, min_cosine - GRACE).select("a", "b").distinct()
+        pairs = _windows(ordered, dim, k + SPARE, min_cosine - GRACE, axes * bits).select("a", "b").distinct()
     scored = _cosines(pairs, single, dim)
     if min_cosine is not None:
         scored = scored.where(F.col("cosine") >= min_cosine)
