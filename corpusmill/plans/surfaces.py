@@ -103,7 +103,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type IN ('view', 'error')")
     role = F.when(F.col("event_type") == "view", "user").otherwise("assistant")
     turns = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn"), role.alias("role"), F.col("event_id").cast("string").alias("text"), "ts")
-    source = sources.sessions(turns, F.lit("2024-02-01").cast("timestamp"), since_days=30, max_sessions=40)
+    source = sources.sessions(turns, F.lit("2024-02-01").cast("timestamp"))
     return source.items().select("artifact_id", "session_id", "user_prompt", "assistant_summary", F.length("assistant_full").alias("n_full"))
 
 
