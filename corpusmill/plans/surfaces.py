@@ -89,7 +89,7 @@ def _package_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surfaces_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = sources.packages(_package_rows(spark, sf_dir), "doc_id", exclude="^x")
     out = surfaces.Package(embed_deps=True).decompose(source.items(), ["artifact_id", "has_readme"])
-    return out.where("surface_kind <> 'readme_chunk'").select("artifact_id", "has_readme", "surface_kind", "text")
+    return out.select("artifact_id", "has_readme", "surface_index", "surface_kind", "text")
 
 
 def tool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
