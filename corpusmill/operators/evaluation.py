@@ -217,30 +217,42 @@ def compare(rankings: Mapping[str, DataFrame], qrels: DataFrame, baseline: str,
 # --- distractor curve ----------------------------------------------------------------------------
 
 
-def distractor_curve(scores: DataFrame, gold: DataFrame, sizes: Iterable[int], trials: int = 5, seed: int = 0) -> DataFrame:
+def draw_distractors(scope: DataFrame, sizes: Iterable[int], trials: int, seed: int = 0) -> DataFrame:
+    """``trial, artifact_id, place``: per trial the first artifacts of the whole scope by a hash of trial and id, the same in any engine.
+
+    One more than the largest size, which tells whether the scope is larger.
+    """
+    tried = scope.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
+    key = F.sha2(F.concat_ws("/", F.lit(seed), "trial", F.col("artifact_id").cast("string")), 256)
+    mixed = scope.select("artifact_id").distinct().crossJoin(F.broadcast(tried)).withColumn("__key", key)
+    nth = F.row_number().over(Window.partitionBy("trial").orderBy("__key", "artifact_id"))
+    return mixed.withColumn("place", nth).where(F.col("place") <= max(sizes) + 1).select("trial", "artifact_id", "place")
+
+
+def distractor_curve(scores: DataFrame, gold: DataFrame, drawn: DataFrame, sizes: Iterable[int]) -> DataFrame:
     """Accuracy at 1 against the size of the catalogue: ``size, accuracy, n``.
 
-    Per probe and trial the catalogue is the gold artifact and the ``size - 1`` others that come first by a
-    hash of trial and id, the same in any engine. ``scores``: ``(qid, artifact_id, score)``, an artifact
-    without a score counts 0 for a probe. Ties go to the gold's rivals (the pessimistic reading).
+    Per probe and trial the catalogue is the gold artifact and the first ``size - 1`` others of ``drawn``
+    (``draw_distractors`` of the same sizes). ``scores``: ``(qid, artifact_id, score)`` of the drawn and the gold
+    artifacts; one without a score counts 0 for a probe. Ties go to the gold's rivals (the pessimistic reading).
+    Sizes beyond the scope become that of the scope, and the whole scope is tried once.
     """
     spark = scores.sparkSession
-    tried = spark.range(trials).select(F.col("id").cast("int").alias("trial"))
+    tried = drawn.groupBy("trial").agg(F.max("place").alias("__all"))  # up to the largest size this is the scope
     one = gold.groupBy("qid").agg(F.min("artifact_id").alias("gold_id"))
-    pool = scores.join(one, "qid").where(F.col("artifact_id") != F.col("gold_id"))
-    own = one.join(scores, (one["qid"] == scores["qid"]) & (one["gold_id"] == scores["artifact_id"]), "left").select(one["qid"], F.coalesce("score", F.lit(0.0)).alias("__own"))
-    key = F.sha2(F.concat_ws("/", F.lit(seed), "trial", F.col("artifact_id").cast("string")), 256)
-    mixed = pool.crossJoin(F.broadcast(tried)).withColumn("__n", F.row_number().over(Window.partitionBy("qid", "trial").orderBy(key, "artifact_id")))
-    most = max(sizes)
-    rivals = mixed.where(F.col("__n") < most).join(own, "qid")
-    beaten = F.max(F.when(F.col("score") >= F.col("__own"), 1).otherwise(0)).over(Window.partitionBy("qid", "trial").orderBy("__n"))
-    cumulative = rivals.withColumn("__lost", beaten)
-    dim = spark.createDataFrame([(int(s),) for s in sizes], "size int")
-    at = own.crossJoin(F.broadcast(tried)).crossJoin(F.broadcast(dim)).select("qid", "trial", "size")
-    lost = cumulative.groupBy("qid", "trial", F.col("__n").alias("__n")).agg(F.max("__lost").alias("__lost"))
-    state = at.join(lost, ["qid", "trial"], "left").where(F.col("__n").isNull() | (F.col("__n") <= F.col("size") - 1)).groupBy("qid", "trial", "size").agg(F.max("__lost").alias("__lost"))
-    full = at.join(state, ["qid", "trial", "size"], "left")
-    return full.groupBy("size").agg(F.round(F.avg(1.0 - F.coalesce("__lost", F.lit(0))), 9).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    own = one.join(scores, (one["qid"] == scores["qid"]) & (one["gold_id"] == scores["artifact_id"]), "left").select(one["qid"], "gold_id", F.coalesce("score", F.lit(0.0)).alias("__own"))
+    rivals = own.crossJoin(F.broadcast(drawn)).where(F.col("artifact_id") != F.col("gold_id")).join(scores, ["qid", "artifact_id"], "left")
+    # a place after that of the gold artifact moves up by one
+    mine = one.join(drawn, F.col("gold_id") == F.col("artifact_id")).select("qid", "trial", F.col("place").alias("__gold"))
+    wins = F.coalesce("score", F.lit(0.0)) >= F.col("__own")
+    placed = rivals.join(mine, ["qid", "trial"], "left").withColumn("__n", F.col("place") - (F.coalesce(F.col("place") > F.col("__gold"), F.lit(False))).cast("int"))
+    first = placed.where(wins).groupBy("qid", "trial").agg(F.min("__n").alias("__lost"))
+    dim = spark.createDataFrame([(int(s),) for s in sorted(set(sizes))], "size int")
+    at = own.select("qid").crossJoin(F.broadcast(tried)).crossJoin(F.broadcast(dim)).select("qid", "trial", F.least("size", "__all").alias("size"), "__all").distinct()
+    at = at.where((F.col("trial") == 0) | (F.col("size") < F.col("__all")))
+    full = at.join(first, ["qid", "trial"], "left")
+    won = F.when(F.col("__lost") <= F.col("size") - 1, 0.0).otherwise(1.0)
+    return full.groupBy("size").agg(F.round(F.avg(won), 9).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 # --- generated cases -----------------------------------------------------------------------------

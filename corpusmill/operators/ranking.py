@@ -39,7 +39,7 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key: str = "record_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key: str = "record_id", text: str = "text", k1: float = K1, b: float = B, only: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of every record that shares a term with a query.
 
     N, document frequencies and the mean length are those of ``records``: filter first, then rank. Only terms
@@ -49,6 +49,8 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     that is done per record stays where the record is: one exchange by record id, then counting, scoring and
     the first cut to ``fetch`` run without another. With a depth and a matrix of queries by terms of up to
     ``MATRIX_CELLS``, adding up is a matrix product in Arrow batches. Larger batches join by term.
+
+    ``only``: distinct ``record_id`` rows; these records alone are scored, by the statistics of all ``records``.
     """
     asked = query_terms(queries)
     pairs = asked.limit(BROADCAST_TERMS + 1).collect()  # one more than fits tells that the batch is larger
@@ -63,6 +65,7 @@ def bm25(records: DataFrame, queries: DataFrame, fetch: int | None = None, key:
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = frequency.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "__avg")
+    postings = postings if only is None else postings.join(only, "record_id", "left_semi")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
     if fetch is not None and small:
         qids, terms = sorted({r[0] for r in pairs}), sorted({r[1] for r in pairs})

@@ -128,9 +128,19 @@ def compare_indexings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.compare({"lexical": _ranked(spark, sf_dir), "dense": _dense(spark, sf_dir)}, _qrels(spark, sf_dir), "lexical")
 
 
+#: Sizes and trials of the distractor curve.
+SIZES, TRIALS = (1, 4, 8, 16, 32, 64, 128), 20
+
+
 def distractor_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = ranking.bm25(_documents(spark, sf_dir), passages(spark, sf_dir), 200).select("qid", F.col("record_id").alias("artifact_id"), "score")
-    return ev.distractor_curve(scores, _gold(spark, sf_dir), (1, 4, 16, 64), trials=3)
+    """Distractors come from all documents. Draws (``TRIALS`` times the largest size) and gold (a row a passage) are small, so only these are scored."""
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    docs = _documents(spark, sf_dir)
+    drawn = held(ev.draw_distractors(docs.select(F.col("record_id").alias("artifact_id")), SIZES, TRIALS))
+    gold = held(_gold(spark, sf_dir).groupBy("qid").agg(F.min("artifact_id").alias("artifact_id")))
+    only = drawn.select("artifact_id").union(gold.select("artifact_id")).distinct().withColumnRenamed("artifact_id", "record_id")
+    scores = ranking.bm25(docs, passages(spark, sf_dir), only=F.broadcast(only)).select("qid", F.col("record_id").alias("artifact_id"), "score")
+    return ev.distractor_curve(scores, gold, drawn, SIZES)
 
 
 def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
