@@ -91,17 +91,6 @@ def mentions(text: Column, term: Column) -> Column:
     return F.coalesce((phrase != "  ") & F.contains(clean_phrase(text), phrase), F.lit(False))
 
 
-def longest_overlap(left: Column, right: Column, least: int = 8, most: int = 4000) -> Column:
-    """Length of the longest end of ``left`` that begins ``right`` (at least ``least``), else 0.
-
-    Lengths are tried only where ``left`` holds the first ``least`` characters of ``right`` at all.
-    """
-    top = F.least(F.length(left), F.length(right), F.lit(most))
-    sizes = F.when((top >= least) & F.contains(left, F.left(right, F.lit(least))), F.sequence(top, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(sizes, lambda n: F.right(left, n) == F.left(right, n))
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0))
-
-
 # --- with Python ---------------------------------------------------------------------------------
 
 #: Letters that no decomposition reaches.
@@ -123,6 +112,37 @@ def fold_string(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", "".join(out))
 
 
+def overlap_length(left: str, right: str, least: int = 8) -> int:
+    """Length of the longest end of ``left`` that begins ``right`` (at least ``least``), else 0; linear by the prefix function."""
+    at = left.find(right[:least], max(0, len(left) - len(right)))
+    if at < 0:
+        return 0
+    tail, k = left[at:], 0
+    if right.startswith(tail):
+        return len(tail) if len(tail) >= least else 0
+    back = [0] * len(tail)  # of each beginning of right, its longest proper end that is a beginning too
+    for i in range(1, len(tail)):
+        while k and right[k] != right[i]:
+            k = back[k - 1]
+        k += right[k] == right[i]
+        back[i] = k
+    k = 0
+    for c in tail:
+        while k and right[k] != c:
+            k = back[k - 1]
+        k += right[k] == c
+    return k if k >= least else 0
+
+
+def longest_overlap(left: Column, right: Column, least: int = 8) -> Column:
+    """:func:`overlap_length` in Arrow batches, 0 for nulls."""
+    @F.pandas_udf(T.IntegerType())
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([overlap_length(x, y, least) if x and y else 0 for x, y in zip(a, b)], dtype="int32")
+
+    return shared(left, right)
+
+
 def fold_text(text: Column) -> Column:
     """:func:`fold_string` in Arrow batches; ASCII rows take the JVM path."""
     @F.pandas_udf(T.StringType())

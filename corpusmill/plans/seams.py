@@ -42,7 +42,7 @@ def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_artifact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages for a reranker that reads whole artifacts."""
     hits = ranking.bm25(corpus(spark, sf_dir), passages(spark, sf_dir), 2).select("qid", "record_id").join(corpus(spark, sf_dir), "record_id")
-    out = expansion.passage_texts(hits, corpus(spark, sf_dir), "artifact", 500)
+    out = expansion.passage_texts(hits, corpus(spark, sf_dir), "artifact")
     return out.select("qid", "record_id", F.length("passage").alias("n"))
 
 
