@@ -18,8 +18,8 @@ collected, so the driver gets no more rows than that. Scores are the maximum ove
 taken where the document lies.
 
 Defined results: null, empty and blank texts score as a sentence without words does; repeated rows of a
-document give one row; null sources are a source of their own in the rates; ties in a document's score go to
-the sentence that sorts last.
+document give one row; null sources are a source of their own in the rates; of sentences with the same score
+the first is named.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import re
 import unicodedata
 from functools import lru_cache
 from hashlib import blake2b
-from math import exp
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -505,7 +505,7 @@ class Classifier:
     remembered numbers.
     """
 
-    def __init__(self, rows: list[tuple[list[str], int]], labels: np.ndarray, rounds: int = 150, l2: tuple[float, float, float] = (1e-6, 1e-4, 1e-3), rate: float = 0.1):
+    def __init__(self, rows: list[tuple[list[str], int]], labels: np.ndarray, rounds: int = 400, l2: tuple[float, float, float] = (1e-6, 1e-4, 1e-3), rate: float = 0.1):
         self.of_vote, self.of_gram, self.of_unit, self.b = np.zeros(len(VOTERS)), np.zeros(HASHED, np.float32), {}, 0.0
         if not rows:
             self.b = -6.9
@@ -513,7 +513,7 @@ class Classifier:
         units: dict = {}  # distinct words and pairs
         row, unit = [], []
         for r, (words, _) in enumerate(rows):
-            own = {*words, *zip(words, words[1:])}
+            own = [*words, *zip(words, words[1:])]
             row += [r] * len(own)
             unit += [units.setdefault(u, len(units)) for u in own]
         row, unit = np.array(row, np.int64), np.array(unit, np.int64)
@@ -543,7 +543,14 @@ class Classifier:
         self._ready()
 
     def _ready(self) -> None:
-        self.words, self.pairs, self.bits = _Memo(self._word), _Memo(self._pair), _Memo(self._votes)
+        words = [u for u in self.of_unit if isinstance(u, str)]
+        words += sorted({w for u in self.of_unit if not isinstance(u, str) for w in u} - {*words})
+        numbers = {w: k for k, w in enumerate(words, 1)}
+        pairs = sorted((numbers[u[0]] << 32 | numbers[u[1]], x) for u, x in self.of_unit.items() if not isinstance(u, str))
+        self.pair_keys, self.pair_weights = (np.array(c, t) for c, t in zip(zip(*pairs, (1 << 62, 0.0)), (np.int64, np.float64)))
+        #: Number of a word of the sample, 0 of another one, -1 where a token has no word.
+        self.numbers = _Memo(lambda token: numbers.get(w, 0) if (w := _tokens[token][1]) else -1)
+        self.words, self.bits = _Memo(self._word), _Memo(self._votes)
 
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("of_vote", "of_gram", "of_unit", "b")}
@@ -557,18 +564,29 @@ class Classifier:
         own = grams(word) if word else []
         return self.of_unit.get(word, 0.0) + (float(self.of_gram[own].mean()) if own else 0.0)
 
-    def _pair(self, pair: tuple[str, str]) -> float:
-        return self.of_unit.get((_tokens[pair[0]][1], _tokens[pair[1]][1]), 0.0)
-
     def _votes(self, vector: int) -> float:
         return float(sum(self.of_vote[k] for k in range(len(VOTERS)) if vector >> k & 1)) + self.b
 
+    def scores(self, tokens: list[str], lengths: list[int], vectors: list[int]) -> np.ndarray:
+        """Scores of sentences that lie one behind the other in ``tokens``."""
+        number = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+        weight = np.fromiter(map(self.words.__getitem__, tokens), np.float64, len(tokens))
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        if (number < 0).any():
+            kept = number >= 0
+            number, weight, of = number[kept], weight[kept], of[kept]
+        total = np.bincount(of, weight, len(lengths))
+        first = np.flatnonzero((of[1:] == of[:-1]) & (number[1:] > 0) & (number[:-1] > 0))
+        key = number[first] << 32 | number[first + 1]
+        at = np.searchsorted(self.pair_keys, key)
+        hit = self.pair_keys[at] == key
+        total += np.bincount(of[first[hit]], self.pair_weights[at[hit]], len(lengths))
+        units = (2 * np.bincount(of, minlength=len(lengths)) - 1).clip(1)
+        z = total / np.sqrt(units) + np.fromiter(map(self.bits.__getitem__, vectors), np.float64, len(lengths))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def score(self, tokens: list[str], vector: int) -> float:
-        own, pairs = set(tokens), set(zip(tokens, tokens[1:]))
-        z = self.bits[vector]
-        if own:
-            z += (sum(map(self.words.__getitem__, own)) + sum(map(self.pairs.__getitem__, pairs))) / (len(own) + len(pairs)) ** 0.5
-        return 1 / (1 + exp(-min(30.0, max(-30.0, z))))
+        return float(self.scores(tokens, [len(tokens)], [vector])[0])
 
 
 # --- over Spark ----------------------------------------------------------------------------------
@@ -649,17 +667,21 @@ def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
     schema = T.StructType([documents.schema[key], T.StructField("score", T.DoubleType()), T.StructField("worst", T.StringType())])
 
     def run(batches):
-        score = shared.value.score
-        for batch in batches:
-            best, said = [], []
-            for t in batch.column(1).to_pylist():
-                worst, what = nothing, None
-                for codes, tokens in sentences(t) if t else ():
-                    x = score(tokens, votes(codes))
-                    if what is None or x > worst or (x == worst and tokens > what):
-                        worst, what = x, tokens
-                best.append(worst)
-                said.append(what and " ".join(what).replace(_LINE, "").strip())
+        c = shared.value
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            tokens, lengths, vectors, of = [], [], [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                for codes, own in sentences(t) if t else ():
+                    tokens += own
+                    lengths.append(len(own))
+                    vectors.append(votes(codes))
+                    of.append(r)
+            best, said = [nothing] * batch.num_rows, [None] * batch.num_rows
+            ends = [0, *accumulate(lengths)]
+            for k, (r, x) in enumerate(zip(of, c.scores(tokens, lengths, vectors).tolist())):
+                if said[r] is None or x > best[r]:  # the first of equal ones
+                    best[r], said[r] = x, k
+            said = [k if k is None else " ".join(tokens[ends[k] : ends[k + 1]]).replace(_LINE, "").strip() for k in said]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.float64()), pa.array(said, pa.string())], schema.names)
 
     scored = documents.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, schema)
