@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from hashlib import blake2b
 from itertools import accumulate
 from zlib import crc32
 
@@ -315,13 +314,14 @@ def sentences(text: str):
         folded = folded.replace("\r", "\n").replace("\n", f" {_LINE} ")
     tokens = folded.split()
     codes = [*map(_codes.__getitem__, tokens)]
+    spaced = _LETTERS.search("".join(codes))
     start = 0
     for end in [k for k, c in enumerate(codes, 1) if c[-1:] == _END] + [len(tokens)]:
         joined, own, parts = "".join(codes[start:end]), tokens[start:end], codes[start:end]
         start = end
         if len(joined) < 2 and joined in ("", _END):
             continue
-        if _LETTERS.search(joined):
+        if spaced and _LETTERS.search(joined):
             shown = reveal(" ".join(own))
             if _SIGN in shown:
                 own = shown.split()
@@ -487,7 +487,7 @@ class LabelModel:
 
 
 def _slot(gram: str) -> int:
-    return int.from_bytes(blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % HASHED
+    return crc32(gram.encode("utf-8", "surrogatepass")) % HASHED
 
 
 def grams(word: str) -> list[int]:
@@ -506,10 +506,9 @@ class Classifier:
     """
 
     def __init__(self, rows: list[tuple[list[str], int]], labels: np.ndarray, rounds: int = 400, l2: tuple[float, float, float] = (1e-6, 1e-4, 1e-3), rate: float = 0.1):
-        self.of_vote, self.of_gram, self.of_unit, self.b = np.zeros(len(VOTERS)), np.zeros(HASHED, np.float32), {}, 0.0
+        self.of_vote, self.of_gram, self.b = np.zeros(len(VOTERS)), np.zeros(HASHED, np.float32), -6.9
         if not rows:
-            self.b = -6.9
-            return self._ready()
+            return self._ready({})
         units: dict = {}  # distinct words and pairs
         row, unit = [], []
         for r, (words, _) in enumerate(rows):
@@ -539,30 +538,30 @@ class Classifier:
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-7)
         self.of_vote, of_gram, of_unit = np.split(w[:-1], b[:2])
         self.of_gram, self.b = of_gram.astype(np.float32), float(w[-1])
-        self.of_unit = {u: float(x) for u, x in zip(units, of_unit) if abs(x) > 1e-3}
-        self._ready()
-
-    def _ready(self) -> None:
-        words = [u for u in self.of_unit if isinstance(u, str)]
-        words += sorted({w for u in self.of_unit if not isinstance(u, str) for w in u} - {*words})
-        numbers = {w: k for k, w in enumerate(words, 1)}
-        pairs = sorted((numbers[u[0]] << 32 | numbers[u[1]], x) for u, x in self.of_unit.items() if not isinstance(u, str))
-        self.pair_keys, self.pair_weights = (np.array(c, t) for c, t in zip(zip(*pairs, (1 << 62, 0.0)), (np.int64, np.float64)))
+        self._ready({u: float(x) for u, x in zip(units, of_unit) if abs(x) > 1e-3})
+
+    def _ready(self, of_unit: dict) -> None:
+        """Words are numbered from 1, pairs are two numbers in one; arrays, so that little is done where the model arrives."""
+        listed = sorted({w for u in of_unit for w in ((u,) if isinstance(u, str) else u)})
+        self.listed, self.of_word = listed, np.array([of_unit.get(w, 0.0) for w in listed], np.float32)
+        numbers = {w: k for k, w in enumerate(listed, 1)}
+        pairs = sorted((numbers[u[0]] << 32 | numbers[u[1]], x) for u, x in of_unit.items() if not isinstance(u, str))
+        self.pair_keys, self.pair_weights = (np.array(c, t) for c, t in zip(zip(*pairs, (1 << 62, 0.0)), (np.int64, np.float32)))
+        self._remember()
+
+    def _remember(self) -> None:
+        numbers = {w: k for k, w in enumerate(self.listed, 1)}
         #: Number of a word of the sample, 0 of another one, -1 where a token has no word.
         self.numbers = _Memo(lambda token: numbers.get(w, 0) if (w := _tokens[token][1]) else -1)
-        self.words, self.bits = _Memo(self._word), _Memo(self._votes)
+        by_word = _Memo(lambda word: (float(self.of_word[k - 1]) if (k := numbers.get(word)) else 0.0) + (float(self.of_gram[own].mean()) if (own := grams(word)) else 0.0))
+        self.words, self.bits = _Memo(lambda token: by_word[w] if (w := _tokens[token][1]) else 0.0), _Memo(self._votes)
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("of_vote", "of_gram", "of_unit", "b")}
+        return {k: self.__dict__[k] for k in ("of_vote", "of_gram", "listed", "of_word", "pair_keys", "pair_weights", "b")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._ready()
-
-    def _word(self, token: str) -> float:
-        word = _tokens[token][1]
-        own = grams(word) if word else []
-        return self.of_unit.get(word, 0.0) + (float(self.of_gram[own].mean()) if own else 0.0)
+        self._remember()
 
     def _votes(self, vector: int) -> float:
         return float(sum(self.of_vote[k] for k in range(len(VOTERS)) if vector >> k & 1)) + self.b
