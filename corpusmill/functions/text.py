@@ -80,15 +80,12 @@ def pointer(*candidates: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in candidates))
 
 
-def clean_phrase(text: Column) -> Column:
-    """Lower case with single spaces, padded by one: makes whole-phrase search a plain ``contains``."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
-
-
 def mentions(text: Column, term: Column) -> Column:
-    """Whether a text holds a phrase as whole words, whatever separates them."""
-    phrase = clean_phrase(term)
-    return F.coalesce((phrase != "  ") & F.contains(clean_phrase(text), phrase), F.lit(False))
+    """Whether a text holds a phrase as whole words, whatever the case; white space alone parts its words."""
+    words = F.filter(F.split(F.lower(term), r"\s+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.array_join(quoted, r"\s+"), F.lit(r"(?![\p{L}\p{N}_])"))
+    return F.coalesce((F.size(words) > 0) & F.regexp_like(F.lower(text), pattern), F.lit(False))
 
 
 # --- with Python ---------------------------------------------------------------------------------

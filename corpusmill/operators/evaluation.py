@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
+from corpusmill.operators.skew import running_totals
+from corpusmill.runtime import cut
 
 #: Levels of graded relevance and their gains (fixed values).
 LEVELS = {"none": 0, "tangential": 0, "uses-tools": 1, "strong": 2, "core": 3}
@@ -28,39 +30,55 @@ def judged(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     return ranking.select("qid", "rank", "artifact_id").join(qrels, ["qid", "artifact_id"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
 
 
-def per_query(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """``qid, ndcg, recall, precision, rr, ap`` at ``k`` for every query that has a relevant artifact."""
-    relevant = qrels.where("gain > 0")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("gain").desc(), "artifact_id"))
-    ideal = relevant.withColumn("__p", place).groupBy("qid").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(F.when(F.col("__p") <= k, F.col("gain") / F.log2(F.col("__p") + 1.0))).alias("__ideal")
-    )
-    hit = F.when(F.col("gain") > 0, 1).otherwise(0)
-    seen = judged(ranking, qrels).where(F.col("rank") <= k).withColumn("__hit", hit)
-    seen = seen.withColumn("__so_far", F.sum("__hit").over(Window.partitionBy("qid").orderBy("rank")))
-    got = seen.groupBy("qid").agg(
-        F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0)).alias("__dcg"), F.sum("__hit").alias("__hits"), F.min(F.when(F.col("__hit") == 1, F.col("rank"))).alias("__first"),
-        F.sum(F.when(F.col("__hit") == 1, F.col("__so_far") / F.col("rank"))).alias("__ap"),
-    )
-    joined = ideal.join(got, "qid", "left")
-    zero = F.lit(0.0)
-    return joined.select(
-        "qid", F.round(F.coalesce(F.col("__dcg") / F.col("__ideal"), zero), 9).alias("ndcg"), F.round(F.coalesce(F.col("__hits") / F.col("__n"), zero), 9).alias("recall"),
-        F.round(F.coalesce(F.col("__hits") / F.lit(float(k)), zero), 9).alias("precision"), F.round(F.coalesce(1.0 / F.col("__first"), zero), 9).alias("rr"),
-        F.round(F.coalesce(F.col("__ap") / F.least("__n", F.lit(k)), zero), 9).alias("ap"),
-    )
+METRICS = ("ndcg", "recall", "precision", "rr", "ap")
 
 
-METRICS = ("ndcg", "recall", "precision", "rr", "ap")
+def _measured(ranking: DataFrame, qrels: DataFrame, ks: list[int], shared: bool) -> DataFrame:
+    """``qid, k`` and the metrics: the ranking meets the judgements once, whatever the number of depths."""
+    most, zero = max(ks), F.lit(0.0)
+    relevant = qrels.where("gain > 0")
+    if shared:  # the same for every query: the best gains of all that is judged, no query crossed with it
+        best = relevant.orderBy(F.col("gain").desc(), "artifact_id").limit(most).agg(F.sort_array(F.collect_list("gain"), asc=False).alias("__g"))
+        ideal = ranking.select("qid").distinct().crossJoin(F.broadcast(relevant.agg(F.count(F.lit(1)).alias("__n")).where("__n > 0").crossJoin(best)))
+        hits = ranking.select("qid", "rank", "artifact_id").where(F.col("rank") <= most).join(relevant, "artifact_id")
+    else:
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("gain").desc(), "artifact_id"))
+        kept = F.when(F.col("__p") <= most, F.col("gain"))
+        ideal = relevant.withColumn("__p", place).groupBy("qid").agg(F.count(F.lit(1)).alias("__n"), F.sort_array(F.collect_list(kept), asc=False).alias("__g"))
+        hits = ranking.select("qid", "rank", "artifact_id").where(F.col("rank") <= most).join(relevant, ["qid", "artifact_id"])
+    seen = hits.withColumn("__so_far", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    got = seen.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "gain", "__so_far"))).alias("__h"))
+    joined = ideal.join(got, "qid", "left").withColumn("__h", F.coalesce("__h", F.array().cast("array<struct<rank:int,gain:double,__so_far:int>>")))
+
+    def total(items, value):
+        return F.aggregate(items, zero, lambda acc, x: acc + value(x))
+
+    def at(k: int):
+        h = F.filter("__h", lambda x: x["rank"] <= k)
+        dcg = total(h, lambda x: x["gain"] / F.log2(x["rank"] + 1.0))
+        best = F.aggregate(F.slice("__g", 1, k), F.struct(zero.alias("s"), F.lit(1).alias("p")), lambda acc, g: F.struct((acc["s"] + g / F.log2(acc["p"] + 1.0)).alias("s"), (acc["p"] + 1).alias("p")), lambda acc: acc["s"])
+        n = F.size(h)
+        first = F.when(n > 0, 1.0 / F.element_at(h, 1)["rank"]).otherwise(zero)
+        ap = total(h, lambda x: x["__so_far"] / x["rank"]) / F.least("__n", F.lit(k))
+        values = (dcg / best, n / F.col("__n"), n / F.lit(float(k)), first, ap)
+        return F.struct(F.lit(k).alias("k"), *(F.round(v, 9).alias(m) for m, v in zip(METRICS, values)))
+
+    return joined.select("qid", F.inline(F.array(*(at(k) for k in ks))))
+
+
+def per_query(ranking: DataFrame, qrels: DataFrame, k: int, shared: bool = False) -> DataFrame:
+    """``qid, ndcg, recall, precision, rr, ap`` at ``k`` for every query that has a relevant artifact.
+
+    ``shared``: the judgements ``(artifact_id, gain)`` hold for every query of the ranking.
+    """
+    return _measured(ranking, qrels, [k], shared).drop("k")
 
 
 def report(ranking: DataFrame, qrels: DataFrame, ks: Iterable[int] = (1, 5, 10)) -> DataFrame:
     """Means over the queries for several depths: ``k, n_queries, ndcg, recall, precision, mrr, map``."""
-    out = None
-    for k in ks:
-        one = per_query(ranking, qrels, k).agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 9).alias(m) for m in METRICS)).select(F.lit(k).alias("k"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out.withColumnsRenamed({"rr": "mrr", "ap": "map"})
+    rows = _measured(ranking, qrels, list(ks), False)
+    means = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 9).alias(m) for m in METRICS))
+    return means.withColumnsRenamed({"rr": "mrr", "ap": "map"})
 
 
 def taxonomy(ranking: DataFrame, queries: DataFrame, gold: DataFrame, abstain_floor: float | None = None, k: int = 10) -> DataFrame:
@@ -144,30 +162,44 @@ def pareto(cells: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def calibrate(tops: DataFrame, weight: float = 0.5) -> DataFrame:
-    """The floor that best parts queries with gold from those without, by their top scores.
+    """The floor that best parts queries whose gold was retrieved from those without gold, by their top scores.
 
-    ``tops``: ``(qid, top, positive)``; a null top (nothing retrieved) is under any floor. Candidates are the
-    midpoints of neighbouring distinct scores and one beyond either end; the objective is
+    ``tops``: ``(qid, top, positive)``; ``positive`` is null for a query whose gold was missed, which says
+    nothing about a floor and is counted only; a null or NaN top (nothing retrieved) is under any floor.
+    Candidates are the midpoints of neighbouring distinct scores and one beyond either end; the objective is
     ``weight * sensitivity + (1 - weight) * specificity``; equal ones give the higher floor. One row:
-    ``floor, objective, sensitivity, specificity, youden_j, balanced_accuracy, n_positive, n_negative, separable``.
+    ``floor, objective, sensitivity, specificity, youden_j, balanced_accuracy, n_positive, n_negative, n_missed,
+    separable, reason``. Without both classes there is no floor.
 
-    A cumulative count over the distinct scores, so every candidate is scored in one pass.
+    Running counts over the distinct scores, range-partitioned, so every candidate is scored in one pass.
     """
-    totals = tops.agg(F.count(F.when(F.col("positive"), 1)).alias("__p"), F.count(F.when(~F.col("positive"), 1)).alias("__n"))
-    by_score = tops.where("top IS NOT NULL").groupBy("top").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("n"))
-    down = Window.orderBy(F.col("top").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = by_score.select("top", F.sum("p").over(down).alias("p_over"), F.sum("n").over(down).alias("n_over"), F.lead("top").over(Window.orderBy(F.col("top").desc())).alias("below"))
-    middle = ordered.select(F.when(F.col("below").isNull(), F.col("top") - 1.0).otherwise((F.col("top") + F.col("below")) / 2).alias("floor"), "p_over", "n_over")
-    above = by_score.agg((F.max("top") + 1.0).alias("floor"), F.lit(0).cast("bigint").alias("p_over"), F.lit(0).cast("bigint").alias("n_over"))
-    scored = middle.unionByName(above).where("floor IS NOT NULL").crossJoin(F.broadcast(totals))
-    sens = F.when(F.col("__p") > 0, F.col("p_over") / F.col("__p")).otherwise(1.0)
-    spec = F.when(F.col("__n") > 0, (F.col("__n") - F.col("n_over")) / F.col("__n")).otherwise(1.0)
-    rows = scored.select("floor", F.round(weight * sens + (1 - weight) * spec, 9).alias("objective"), F.round(sens, 9).alias("sensitivity"), F.round(spec, 9).alias("specificity"), "__p", "__n")
-    best = rows.orderBy(F.col("objective").desc(), F.col("floor").desc()).limit(1)
-    return best.select(
-        F.round("floor", 9).alias("floor"), "objective", "sensitivity", "specificity", F.round(F.col("sensitivity") + F.col("specificity") - 1, 9).alias("youden_j"),
-        F.round((F.col("sensitivity") + F.col("specificity")) / 2, 9).alias("balanced_accuracy"), F.col("__p").alias("n_positive"), F.col("__n").alias("n_negative"),
-        ((F.col("sensitivity") == 1) & (F.col("specificity") == 1)).alias("separable"),
+    tops = cut(tops.select("qid", "top", "positive"))  # a row a query, read four times
+    totals = tops.agg(F.count(F.when(F.col("positive"), 1)).alias("__p"), F.count(F.when(~F.col("positive"), 1)).alias("__n"), F.count(F.when(F.col("positive").isNull(), 1)).alias("n_missed"))
+    finite = tops.where(F.col("positive").isNotNull() & F.col("top").isNotNull() & ~F.isnan(F.col("top").cast("double")))
+    by_score = finite.groupBy("top").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("n"))
+    runs = running_totals(by_score, "top", ["p", "n"])
+    middle = runs.where("next IS NOT NULL").select(((F.col("top") + F.col("next")) / 2).alias("floor"), "p_run", "n_run")
+    ends = by_score.agg(F.count(F.lit(1)).alias("c"), F.min("top").alias("a"), F.max("top").alias("b"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    margin = F.when(F.col("c") == 1, F.abs("a") * 0.5 + 1.0).otherwise((F.col("b") - F.col("a")) / F.col("c"))
+    none = F.lit(0).cast("bigint")
+    outer = F.array(
+        F.struct(F.coalesce(F.col("a") - margin, F.lit(0.0)).alias("floor"), F.coalesce("p", none).alias("p_run"), F.coalesce("n", none).alias("n_run")),
+        F.struct(F.coalesce(F.col("b") + margin, F.lit(0.0)).alias("floor"), none.alias("p_run"), none.alias("n_run")),
+    )
+    scored = middle.unionByName(ends.select(F.inline(outer))).crossJoin(F.broadcast(totals))
+    sens = F.when(F.col("__p") > 0, F.col("p_run") / F.col("__p")).otherwise(1.0)
+    spec = F.when(F.col("__n") > 0, (F.col("__n") - F.col("n_run")) / F.col("__n")).otherwise(1.0)
+    rows = scored.select("floor", F.round(weight * sens + (1 - weight) * spec, 9).alias("objective"), F.round(sens, 9).alias("s"), F.round(spec, 9).alias("c"))
+    best = rows.agg(F.max(F.struct("objective", "floor", "s", "c")).alias("b"), F.max((F.col("s") == 1) & (F.col("c") == 1)).alias("any_separates"))
+    p, n = F.col("__p"), F.col("__n")
+    both = (p > 0) & (n > 0)
+    joined = totals.crossJoin(F.broadcast(best))
+    sensitivity, specificity = F.when(both, F.col("b.s")).when(p > 0, 1.0), F.when(both, F.col("b.c")).when(n > 0, 1.0)
+    reason = F.when(both, "calibrated").when((p == 0) & (n == 0), "no_cases").when(p == 0, "no_positive_cases").otherwise("no_abstention_cases")
+    return joined.select(
+        F.round(F.when(both, F.col("b.floor")), 9).alias("floor"), F.when(both, F.col("b.objective")).alias("objective"), sensitivity.alias("sensitivity"), specificity.alias("specificity"),
+        F.when(both, F.round(F.col("b.s") + F.col("b.c") - 1, 9)).alias("youden_j"), F.when(both, F.round((F.col("b.s") + F.col("b.c")) / 2, 9)).alias("balanced_accuracy"),
+        p.alias("n_positive"), n.alias("n_negative"), "n_missed", (both & F.col("any_separates")).alias("separable"), reason.alias("reason"),
     )
 
 

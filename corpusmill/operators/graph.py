@@ -1,14 +1,11 @@
 """The link graph: edges, neighbours, reverse neighbours, and budgeted walks.
 
 Edges are rows ``(source, artifact_id, edge_type, pos, target_source, target_id)``; a target without a
-source lies in the edge's own. REF targets are compared by their normalised name, all others exactly.
-A node is ``(source, artifact_id)``.
+source lies in the edge's own. REF targets within a source are compared by their normalised name, all others exactly. A node is ``(source, artifact_id)``.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +31,7 @@ def clean_links(links: DataFrame) -> DataFrame:
     kept = links.where(F.col("target_id").isNotNull() & (F.btrim("target_id") != "") & F.col("artifact_id").isNotNull())
     full = kept.withColumn("target_source", F.coalesce("target_source", "source"))
     once = full.groupBy("source", "artifact_id", "edge_type", "target_source", "target_id").agg(F.min("pos").alias("pos"))
-    return once.withColumn("target_key", F.when(F.col("edge_type") == "REF", normal_id(F.col("target_id"))).otherwise(F.col("target_id")))
+    return once.withColumn("target_key", F.when((F.col("edge_type") == "REF") & (F.col("target_source") == F.col("source")), normal_id(F.col("target_id"))).otherwise(F.col("target_id")))
 
 
 def neighbors(links: DataFrame, edge_type: str | None = None) -> DataFrame:
@@ -47,17 +44,21 @@ def neighbors(links: DataFrame, edge_type: str | None = None) -> DataFrame:
 
 
 def resolve(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Edges whose target is a node: exact id first, else (REF only) the first node with the same normalised id."""
+    """Every edge with the node it points to: the exact id, else (REF only) the first node with the same normalised id.
+
+    A target outside the corpus is a node of its own, known by its key (for REF the normalised name), so that
+    what depends on it is found too; ``inside`` is false there.
+    """
     edges = clean_links(links)
     exact = nodes.select(F.col("source").alias("target_source"), F.col("artifact_id").alias("target_id"), F.col("artifact_id").alias("__exact")).distinct()
     loose = nodes.groupBy(F.col("source").alias("target_source"), normal_id(F.col("artifact_id")).alias("target_key")).agg(F.min("artifact_id").alias("__loose"))
     joined = edges.join(exact, ["target_source", "target_id"], "left").join(loose, ["target_source", "target_key"], "left")
-    found = F.coalesce("__exact", F.when(F.col("edge_type") == "REF", F.col("__loose")))
-    return joined.withColumn("node_id", found).where(F.col("node_id").isNotNull()).drop("__exact", "__loose")
+    found = F.coalesce("__exact", F.when((F.col("edge_type") == "REF") & (F.col("target_source") == F.col("source")), F.col("__loose")))
+    return joined.withColumn("node_id", F.coalesce(found, "target_key")).withColumn("inside", found.isNotNull()).drop("__exact", "__loose")
 
 
 def reverse_neighbors(nodes: DataFrame, links: DataFrame, edge_type: str = "REF") -> DataFrame:
-    """``(source, artifact_id, from_source, from_id)``: who points to each node."""
+    """``(source, artifact_id, from_source, from_id)``: who points to each node, targets outside the corpus included."""
     edges = resolve(nodes, links).where(F.col("edge_type") == edge_type)
     return edges.select(F.col("target_source").alias("source"), F.col("node_id").alias("artifact_id"), F.col("source").alias("from_source"), F.col("artifact_id").alias("from_id")).distinct()
 
@@ -70,7 +71,7 @@ def fan_in(nodes: DataFrame, links: DataFrame, edge_type: str = "REF") -> DataFr
 # --- walks ---------------------------------------------------------------------------------------
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, node_budget: int = 64, per_level: Column | None = None) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, node_budget: int = 64) -> DataFrame:
     """A level-synchronous walk per query: ``(qid, source, artifact_id, depth, score)``.
 
     ``seeds``: ``(qid, source, artifact_id, score)``. ``edges``: ``(source, artifact_id, to_source, to_id)``
@@ -119,20 +120,25 @@ def reverse_dependency_walk(
     return out.select("qid", "source", "artifact_id", "depth", F.round(score, 9).alias("score"))
 
 
-def collapsed_tree(hits: DataFrame, leaves: DataFrame, seed_k: int = 10) -> DataFrame:
-    """One level: summary hits route to their artifact's leaves, which take over with their own score.
+def tree_seeds(hits: DataFrame, seed_k: int = 10) -> DataFrame:
+    """The ``seed_k`` best artifacts of each query by their best summary hit: ``qid, source, artifact_id, self_id, self_score``."""
+    best = hits.groupBy("qid", "source", "artifact_id").agg(F.max(F.struct(F.col("score").alias("s"), F.col("record_id").alias("r"))).alias("b"))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("b.s").desc(), "source", "artifact_id"))
+    return best.withColumn("__n", nth).where(F.col("__n") <= seed_k).select("qid", "source", "artifact_id", F.col("b.r").alias("self_id"), F.col("b.s").alias("self_score"))
 
-    ``hits``: a ranking of summary surfaces; ``leaves``: ``(qid, source, artifact_id, record_id, score)``.
-    An artifact without leaves is emitted itself; one with leaves is not.
-    """
-    seeds = hits.where(F.col("rank") <= seed_k).select("qid", "source", "artifact_id", F.col("record_id").alias("__self"), F.col("score").alias("__score"))
-    best = seeds.groupBy("qid", "source", "artifact_id").agg(F.max(F.struct("__score", "__self")).alias("s"))
-    joined = best.join(leaves, ["qid", "source", "artifact_id"], "left")
-    return joined.select(
-        "qid", "source", "artifact_id", F.coalesce("record_id", "s.__self").alias("record_id"), F.coalesce("score", "s.__score").alias("score"), F.col("record_id").isNull().alias("is_summary")
-    )
 
+def collapsed_tree(seeds: DataFrame, stored: DataFrame, scores: DataFrame, node_budget: int = 64) -> DataFrame:
+    """One level: the summaries of ``seeds`` (:func:`tree_seeds`) route to the leaves that their artifacts have stored.
 
-def rounds_needed(depth: int) -> int:
-    """Pointer doublings that cover a depth."""
-    return max(0, math.ceil(math.log2(max(1, depth))))
+    ``stored``: ``(source, artifact_id, record_id)`` of all leaves, whatever the query; ``scores``: ``(qid,
+    record_id, score)`` of leaves, none counting 0. Leaves come out with their own score, the best of a query
+    until its budget, seeds included, is spent; an artifact without leaves comes out itself, a router does not.
+    """
+    leaves = stored.select("source", "artifact_id", "record_id")
+    routed = seeds.join(leaves, ["source", "artifact_id"], "left").join(scores.select("qid", "record_id", "score"), ["qid", "record_id"], "left")
+    leaf = routed.where("record_id IS NOT NULL").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "record_id"))
+    room = seeds.groupBy("qid").agg((F.lit(node_budget) - F.count(F.lit(1))).alias("__room"))
+    kept = leaf.withColumn("__n", nth).join(room, "qid").where(F.col("__n") <= F.col("__room"))
+    own = routed.where("record_id IS NULL").select("qid", "source", "artifact_id", F.col("self_id").alias("record_id"), F.col("self_score").alias("score"), F.lit(True).alias("is_summary"))
+    return kept.select("qid", "source", "artifact_id", "record_id", "score", F.lit(False).alias("is_summary")).unionByName(own)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import tokens
+from corpusmill.functions.text import dist_name, tokens
 
 DIGITS = 9
 K1, B = 1.5, 0.75
@@ -230,12 +230,18 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def blend(dense: DataFrame, lexical: DataFrame, alpha: float = ALPHA, saturation: float = SATURATION) -> DataFrame:
-    """``alpha * cosine + (1 - alpha) * bm25 / (bm25 + saturation)``; equal scores follow the dense, then the lexical rank."""
+    """``alpha * cosine + (1 - alpha) * bm25 / (bm25 + saturation)``; equal scores follow the dense, then the lexical rank.
+
+    A query without hits in one channel keeps the other's ranking and scores as they are.
+    """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie in [0, 1]")
     ls, ds = F.coalesce("ls", F.lit(0.0)), F.coalesce("ds", F.lit(0.0))
-    scored = _both(dense, lexical).select(
-        "qid", "record_id", F.round(alpha * ds + (1 - alpha) * ls / (ls + saturation), DIGITS).alias("score"),
+    has = lambda hits, name: hits.select("qid").distinct().withColumn(name, F.lit(True))
+    both = _both(dense, lexical).join(has(lexical, "__lex"), "qid", "left").join(has(dense, "__den"), "qid", "left")
+    mixed = alpha * ds + (1 - alpha) * F.when(ls > 0, ls / (ls + saturation)).otherwise(0.0)
+    scored = both.select(
+        "qid", "record_id", F.round(F.when(F.col("__lex").isNull(), ds).when(F.col("__den").isNull(), ls).otherwise(mixed), DIGITS).alias("score"),
         F.coalesce("dr", F.lit(1 << 30)).alias("__dr"), F.coalesce("lr", F.lit(1 << 30)).alias("__lr"),
     )
     return top(scored, None, ties=("__dr", "__lr", "record_id")).drop("__dr", "__lr")
@@ -276,8 +282,10 @@ def merge_variants(hits: DataFrame, weight: float = 1.0) -> DataFrame:
 
 
 def boosted(hits: DataFrame, libraries: Column, deps: Column, weight: float, saturate: int = 1) -> DataFrame:
-    """Adds ``weight * min(n, saturate) / saturate`` for n of the wanted libraries among a hit's dependencies."""
-    n = F.size(F.array_intersect(F.coalesce(deps, F.array().cast("array<string>")), libraries))
+    """Adds ``weight * min(n, saturate) / saturate`` for n of the wanted libraries among a hit's dependencies, both by their normalised names."""
+    if not np.isfinite(weight) or not isinstance(saturate, int) or saturate < 1:
+        raise ValueError("weight must be finite and saturate a positive whole number")
+    n = F.size(F.array_intersect(F.transform(F.coalesce(deps, F.array().cast("array<string>")), dist_name), F.transform(libraries, dist_name)))
     extra = F.lit(float(weight)) * F.least(n, F.lit(saturate)) / F.lit(float(saturate))
     return top(hits.drop("rank").withColumn("score", F.round(F.col("score") + extra, DIGITS)), None)
 

@@ -48,7 +48,9 @@ def conservative(hits: DataFrame, queries: DataFrame, max_k: int = MAX_K, rel: f
     """One row per query: ``qid, selected, abstained, reason, n_candidates, n_selected, top_score, min_ratio``.
 
     Keeps the first hit and admits the next while its share of the top score is at least ``rel``, ``max_k`` at
-    most. Abstains without candidates and when the top is under the floor. ``selected`` joins artifact ids.
+    most. Abstains without candidates and when the top is under the floor. ``selected`` joins artifact ids;
+    ``min_ratio`` is the least share admitted. Reason: ``rel_threshold`` where a share was too small, else
+    ``single``, ``nonpositive_top``, ``max_k`` where candidates are left, ``exhausted``.
     """
     floor = min_score if isinstance(min_score, Column) else F.lit(min_score).cast("double")
     first = F.first("score").over(_by_rank().rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -65,20 +67,25 @@ def conservative(hits: DataFrame, queries: DataFrame, max_k: int = MAX_K, rel: f
     below = F.coalesce(F.col("top_score") < F.col("__floor"), F.lit(False))
     abstained = (n == 0) | below
     reason = (
-        F.when(n == 0, "abstain:no_candidates").when(below, "abstain:below_floor").when(F.col("top_score") <= 0, "nonpositive_top").when(n == 1, "single")
-        .when(F.col("k") >= max_k, "max_k").when(F.col("k") == n, "exhausted").otherwise("rel_threshold")
+        F.when(n == 0, "abstain:no_candidates").when(below, "abstain:below_floor")
+        .when((F.col("top_score") > 0) & (F.col("k") < F.least(n, F.lit(max_k))), "rel_threshold").when(n == 1, "single")
+        .when(F.col("top_score") <= 0, "nonpositive_top").when(n > max_k, "max_k").otherwise("exhausted")
     )
     names = F.array_join(F.transform("ids", lambda x: x["artifact_id"]), "|")
     return joined.select(
         "qid", F.when(abstained, "").otherwise(names).alias("selected"), abstained.alias("abstained"), reason.alias("reason"), n.cast("bigint").alias("n_candidates"),
-        F.when(abstained, 0).otherwise(F.col("k")).cast("bigint").alias("n_selected"), "top_score", F.when(~abstained, F.col("min_ratio")).alias("min_ratio"),
+        F.when(abstained, 0).otherwise(F.col("k")).cast("bigint").alias("n_selected"), "top_score", F.when(~abstained, F.coalesce("min_ratio", F.lit(1.0))).alias("min_ratio"),
     )
 
 
-def by_callable(hits: DataFrame, chooser: Callable[[int, list], list], schema: str = "qid bigint, artifact_id string") -> DataFrame:
+def by_callable(
+    hits: DataFrame, chooser: Callable[[int, list], list], schema: str = "qid bigint, artifact_id string", max_candidates: int | None = None, max_k: int = MAX_K, rel: float = REL
+) -> DataFrame:
     """An injected selector: ``chooser(qid, [(rank, artifact_id, score), ...])`` gives the chosen ids of a query.
 
-    Grouped in Arrow batches; a query's candidates are as many as the ranking's depth.
+    It sees the first ``max_candidates``. Ids that are no candidate are passed over; where it fails or none is
+    left, the rule of :func:`conservative` decides, so a query never loses its answer to a bad reply. Grouped in
+    Arrow batches; a query's candidates are as many as the ranking's depth.
     """
     import pandas as pd
 
@@ -87,7 +94,18 @@ def by_callable(hits: DataFrame, chooser: Callable[[int, list], list], schema: s
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         qid = pdf["qid"].iloc[0]
-        chosen = chooser(qid, list(zip(pdf["rank"], pdf["artifact_id"], pdf["score"])))
+        rows = list(zip(pdf["rank"], pdf["artifact_id"], pdf["score"]))
+        known = {r[1] for r in rows}
+        try:
+            chosen = [i for i in chooser(qid, rows[:max_candidates]) if i in known]
+        except Exception:  # whatever an injected model raises
+            chosen = []
+        if not chosen:
+            top, chosen = rows[0][2], [rows[0][1]]
+            for _, i, score in rows[1:max_k]:
+                if top <= 0 or score / top < rel:
+                    break
+                chosen.append(i)
         return pd.DataFrame({names[0]: [qid] * len(chosen), names[1]: list(chosen)})
 
     return hits.select("qid", "rank", "artifact_id", "score").groupBy("qid").applyInPandas(choose, schema)

@@ -7,10 +7,10 @@ surfaces are dropped before they are numbered.
 
 from __future__ import annotations
 
+import importlib
 import json
 import math
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, fields, is_dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,9 @@ def hard_windows(text: Column, size: int, overlap: int) -> Column:
 def chunks(text: Column, size: int = 1200, overlap: int = 200) -> Column:
     """Paragraphs packed greedily into chunks of ``size``, each begun with the last ``overlap`` characters before it.
 
-    A text that fits is one chunk. A paragraph that does not fit by itself is cut into windows. One fold
-    over the paragraphs, no Python.
+    A text that fits is one chunk. A paragraph that does not fit by itself is cut into windows. The carried
+    end comes on top of the paragraph it precedes, so such a chunk may exceed ``size`` by the overlap. One
+    fold over the paragraphs, no Python.
     """
     whole = strip(text)
     none = F.array().cast("array<string>")
@@ -51,11 +52,11 @@ def chunks(text: Column, size: int = 1200, overlap: int = 200) -> Column:
 
     def add(acc: Column, paragraph: Column) -> Column:
         joined = F.when(acc["open"] == "", paragraph).otherwise(F.concat(acc["open"], F.lit("\n\n"), paragraph))
-        carried = F.when((acc["open"] == "") | F.lit(overlap <= 0), paragraph).otherwise(F.concat(F.right(acc["open"], F.lit(max(1, overlap))), F.lit("\n\n"), paragraph))
+        carried = F.when((acc["open"] == "") | F.lit(overlap <= 0), paragraph).otherwise(strip(F.concat(F.right(acc["open"], F.lit(max(1, overlap))), F.lit("\n\n"), paragraph)))
         fits = F.length(joined) <= size
         too_long = F.length(paragraph) > size
         done = F.when(too_long, F.concat(flushed(acc), hard_windows(paragraph, size, overlap))).when(fits, acc["done"]).otherwise(flushed(acc))
-        open_ = F.when(too_long, F.lit("")).when(fits, joined).otherwise(F.when(F.length(carried) <= size, carried).otherwise(paragraph))
+        open_ = F.when(too_long, F.lit("")).when(fits, joined).otherwise(carried)
         return F.struct(done.alias("done"), open_.alias("open"))
 
     paragraphs = F.filter(F.transform(F.split(whole, r"\n\s*\n"), strip), lambda p: p != "")
@@ -73,9 +74,10 @@ def token_windows(text: Column, max_tokens: int, overlap_tokens: int) -> Column:
 
 
 def balanced_windows(text: Column, size: int, overlap: int = 0) -> Column:
-    """The fewest windows of nearly equal width, at most ``size``, that overlap by ``overlap``."""
+    """The fewest windows of the stripped text of nearly equal width, at most ``size``, that overlap by ``overlap``."""
     if not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size must hold")
+    text = strip(text)
     n_chars = F.length(text)
     n = F.greatest(F.lit(1), F.ceil((n_chars - overlap) / F.lit(float(size - overlap))).cast("int"))
     width = F.ceil((n_chars + (n - 1) * overlap) / n.cast("double")).cast("int")
@@ -255,9 +257,12 @@ class WithSynopsis(Strategy):
     text_key: str = "text"
     gate: str | None = None
     kind: str = "synopsis"
+    #: The function of a Column that writes it, ``package.module:name``; part of the strategy's id, so another one reindexes.
+    synthesizer: str = "corpusmill.operators.surfaces:first_sentence"
 
-    def surfaces(self, synthesize: Callable[[Column], Column] = first_sentence) -> Column:
-        text = synthesize(F.col(self.text_key))
+    def surfaces(self) -> Column:
+        module, _, name = self.synthesizer.partition(":")
+        text = getattr(importlib.import_module(module), name)(F.col(self.text_key))
         if self.gate:
             text = F.when(F.col(self.gate), text).otherwise(F.lit(""))
         return F.concat(F.array(surface(self.kind, "field", text)), self.inner.surfaces())
@@ -266,7 +271,3 @@ class WithSynopsis(Strategy):
 def windows_needed(length: int, size: int, overlap: int) -> int:
     """How many balanced windows a text of ``length`` gets (driver-side twin of :func:`balanced_windows`)."""
     return 0 if length == 0 else 1 if length <= size else math.ceil((length - overlap) / (size - overlap))
-
-
-def describe(strategy: Strategy) -> dict:
-    return asdict(strategy) if is_dataclass(strategy) else {}

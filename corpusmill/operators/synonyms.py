@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 LEDGER = "entry int, terms array<string>, oneway boolean, corpus string, status string"
 MAX_VARIANTS = 6
+#: So many swaps of a ledger are broadcast to the queries.
+LEDGER_ROWS = 10_000
 
 
 def parse_ledger(text_lines: Iterable[str]) -> list[dict]:
@@ -45,19 +47,26 @@ def spelling(term: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(term), r"[-_\s]+", " "))
 
 
-def term_regex(term: str) -> str:
-    """A pattern for a term: any separator or none between its words; short words only as whole words."""
-    words = [w for w in re.split(r"[-_\s]+", term.strip()) if w]
-    body = "[-_ ]?".join(re.escape(w) for w in words)
-    guard = r"\b" if all(len(w) <= 4 for w in words) else ""
-    return f"(?i){guard}{body}{guard}"
+#: A term of one word and so many characters at most is matched as a whole word only.
+SHORT_TERM = 4
+
+
+def term_regex(*terms: str) -> str:
+    """A pattern for any of the terms, the longest first: one separator or none between the words of a term."""
+    made: dict[str, str] = {}
+    for term in sorted({t for t in terms if t.strip()}, key=lambda t: (-len(t), t)):
+        body = "[-_ ]?".join(re.escape(w) for w in re.split(r"[-_\s]+", term.strip()) if w)
+        short = len(term) <= SHORT_TERM and re.fullmatch(r"\w+", term)
+        body = rf"\b{body}\b" if short else body
+        made.setdefault(body.lower(), body)
+    return "(?i)" + "|".join(made.values())
 
 
 def term_pattern(term: Column) -> Column:
-    """:func:`term_regex` as a Column (for terms of letters, digits and separators)."""
+    """A term as a Column's pattern: whole words, whatever the case, one separator or none between them."""
     words = F.filter(F.split(F.btrim(term), r"[-_\s]+"), lambda w: w != "")
-    guard = F.when(F.forall(words, lambda w: F.length(w) <= 4), r"\b").otherwise("")
-    return F.concat(F.lit("(?i)"), guard, F.array_join(words, "[-_ ]?"), guard)
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.array_join(quoted, "[-_ ]?"), F.lit(r"(?![\p{L}\p{N}_])"))
 
 
 def pairs(entries: DataFrame) -> DataFrame:
@@ -65,7 +74,8 @@ def pairs(entries: DataFrame) -> DataFrame:
     a = entries.select("entry", "oneway", F.posexplode("terms").alias("from_pos", "from_term"))
     b = entries.select("entry", F.posexplode("terms").alias("to_pos", "to_term"))
     allowed = (F.col("from_pos") != F.col("to_pos")) & (~F.col("oneway") | (F.col("from_pos") == 0)) & (spelling(F.col("from_term")) != spelling(F.col("to_term")))
-    return a.join(b, "entry").where(allowed).drop("oneway")
+    once = F.row_number().over(Window.partitionBy("entry", "from_pos", spelling(F.col("to_term"))).orderBy("to_pos"))
+    return a.join(b, "entry").where(allowed).drop("oneway").withColumn("__n", once).where("__n = 1").drop("__n")
 
 
 def aliases(entries: DataFrame, terms: DataFrame) -> DataFrame:
@@ -80,14 +90,17 @@ def aliases(entries: DataFrame, terms: DataFrame) -> DataFrame:
 def expand_queries(queries: DataFrame, entries: DataFrame, max_variants: int = MAX_VARIANTS) -> DataFrame:
     """``(qid, variant, text)``: the original as variant 0, then one-term swaps, ``max_variants`` rows at most.
 
-    Per entry the first of its terms that occurs is swapped. The ledger is small and meets the queries in a
-    nested loop, as a pattern match has no join key.
+    Per entry the longest of its terms that occurs as whole words is swapped, where it first occurs. The ledger
+    is hand-written and counted: up to ``LEDGER_ROWS`` swaps are broadcast, and they meet the queries in a nested
+    loop, as a pattern match has no join key.
     """
     swaps = pairs(entries).withColumn("__p", term_pattern(F.col("from_term")))
-    hit = queries.select("qid", "text").join(F.broadcast(swaps), F.expr("text RLIKE __p"))
-    first = F.min("from_pos").over(Window.partitionBy("qid", "entry"))
-    kept = hit.withColumn("__f", first).where("from_pos = __f")
-    made = kept.select("qid", "entry", "to_pos", F.expr("regexp_replace(text, __p, to_term, 1)").alias("text"))
+    swaps = F.broadcast(swaps) if swaps.limit(LEDGER_ROWS + 1).count() <= LEDGER_ROWS else swaps
+    hit = queries.select("qid", "text").join(swaps, F.expr("text RLIKE __p"))
+    first = F.min(F.struct(-F.length("from_term"), "from_pos")).over(Window.partitionBy("qid", "entry"))
+    kept = hit.withColumn("__f", first["from_pos"]).where("from_pos = __f")
+    at, size = "regexp_instr(text, __p)", "length(regexp_extract(text, __p, 0))"
+    made = kept.select("qid", "entry", "to_pos", F.expr(f"concat(left(text, {at} - 1), to_term, substring(text, {at} + {size}))").alias("text"))
     one = made.groupBy("qid", "text").agg(F.min(F.struct("entry", "to_pos")).alias("o"))
     fresh = one.join(queries.select("qid", F.col("text").alias("__t")), "qid").where("text <> __t").drop("__t")
     every = fresh.unionByName(queries.select("qid", "text", F.struct(F.lit(-1).alias("entry"), F.lit(0).alias("to_pos")).alias("o")))

@@ -17,6 +17,8 @@ from corpusmill.plans.blocks import QUERIES as ASK, bm25_sql, hashed_sql, passag
 from corpusmill.runtime import table
 
 K, HELD = 10, 13
+#: So many ends of passages are broadcast to the documents.
+ENDS = 200_000
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +35,20 @@ def _dense(spark: SparkSession, sf_dir: str, fetch: int = K) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set against all documents: the passages are the broadcast side, by their size."""
-    said = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    docs = _documents(spark, sf_dir).select("record_id", said(tokens(F.col("text"))).alias("doc"))
+    """Windows of the documents' words meet the passages' ends by their hash, then word by word. The ends are two rows a passage."""
     words = passages(spark, sf_dir).select("qid", tokens(F.col("text")).alias("w"))
-    ends = words.select("qid", F.explode(F.array(F.slice("w", 1, HELD), F.slice("w", F.greatest(F.lit(1), F.size("w") - (HELD - 1)), F.lit(HELD)))).alias("part"))
-    asked = ends.select("qid", said(F.col("part")).alias("part"))
-    pairs = docs.join(asked, F.expr("contains(doc, part)"))
-    return pairs.select("qid", F.col("record_id").alias("artifact_id")).distinct()
+    ends = words.select("qid", F.explode(F.array(F.slice("w", 1, HELD), F.slice("w", F.greatest(F.lit(1), F.size("w") - (HELD - 1)), F.lit(HELD)))).alias("part")).where("size(part) > 0").distinct()
+    held = ends.withColumn("h", F.xxhash64("part"))
+    sizes = sorted(r[0] for r in ends.select(F.size("part")).distinct().collect())  # HELD numbers at most
+    docs = _documents(spark, sf_dir).select("record_id", tokens(F.col("text")).alias("w"))
+
+    def windows(n: int):
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.array_distinct(F.concat(*map(windows, sizes))) if sizes else F.array().cast("array<bigint>")
+    hits = docs.select("record_id", "w", F.explode(every).alias("h")).join(F.broadcast(held) if held.limit(ENDS + 1).count() <= ENDS else held, "h")
+    said = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    return hits.where(F.contains(said(F.col("w")), said(F.col("part")))).select("qid", F.col("record_id").alias("artifact_id")).distinct()
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +93,12 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = _gold(spark, sf_dir).select("qid").distinct().withColumn("positive", F.lit(True))
-    tops = _ranked(spark, sf_dir, 1).select("qid", F.col("score").alias("top"))
-    return passages(spark, sf_dir).select("qid").join(has, "qid", "left").join(tops, "qid", "left").select("qid", "top", F.coalesce("positive", F.lit(False)).alias("positive"))
+    """The top score of each passage; positive where gold is among the first ``K``, null where it was missed."""
+    gold, ranked = _gold(spark, sf_dir), _ranked(spark, sf_dir)
+    seen = ranked.join(gold.withColumn("__g", F.lit(1)), ["qid", "artifact_id"], "left").groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max("__g").alias("__reached"))
+    has = gold.select("qid").distinct().withColumn("__has", F.lit(True))
+    joined = passages(spark, sf_dir).select("qid").join(has, "qid", "left").join(seen, "qid", "left")
+    return joined.select("qid", "top", F.when(F.col("__has").isNull(), False).when(F.col("__reached") == 1, True).alias("positive"))
 
 
 def calibrate_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +106,7 @@ def calibrate_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.score_summary(_tops(spark, sf_dir))
+    return ev.score_summary(_tops(spark, sf_dir).where("positive IS NOT NULL"))
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +117,9 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graded_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each passage's ranking against the graded labels of its first fifty documents."""
-    ranked = _ranked(spark, sf_dir, 50)
-    qrels = ranked.select("qid", "artifact_id").join(_graded(spark, sf_dir), "artifact_id").select("qid", "artifact_id", ev.gain_of(F.col("level")).alias("gain"))
-    return ev.per_query(ranked, qrels, K).select("qid", "ndcg")
+    """Each passage's ranking against the grades of all labelled documents."""
+    grades = _graded(spark, sf_dir).select("artifact_id", ev.gain_of(F.col("level")).alias("gain"))
+    return ev.per_query(_ranked(spark, sf_dir), grades, K, shared=True).select("qid", "ndcg")
 
 
 def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +204,8 @@ c AS (SELECT t.*, g.*, max(CASE WHEN rank > 1 AND (top <= 0 OR score / top < rel
 chosen AS (SELECT cell, qid, artifact_id FROM c WHERE bad = 0 AND rank <= max_k AND (min_score IS NULL OR top >= min_score)),
 cells AS (SELECT DISTINCT cell FROM chosen), {_SELECTION.format(by="c.cell, ", b="x.cell, ", cross=", cells x", key="cell, ", k="cell, ", group="GROUP BY cell")},
 cells_ AS (SELECT g.cell, g.max_k, g.rel, g.min_score, f.* EXCLUDE (cell) FROM grid g LEFT JOIN final f ON f.cell = g.cell)"""
-_TOPS = "tops AS (SELECT q.qid, r.score AS top, q.qid IN (SELECT qid FROM gold) AS positive FROM queries q LEFT JOIN ranked r ON r.qid = q.qid AND r.rank = 1)"
+_TOPS = """tops AS (SELECT q.qid, r.score AS top, CASE WHEN q.qid NOT IN (SELECT qid FROM gold) THEN false WHEN q.qid IN (SELECT qid FROM ranked JOIN gold USING (qid, artifact_id)) THEN true END AS positive
+    FROM queries q LEFT JOIN ranked r ON r.qid = q.qid AND r.rank = 1)"""
 _GRADED = """graded AS (SELECT doc_id AS artifact_id, CASE WHEN q = 1 AND t = 0 THEN 'core' WHEN q = 1 THEN 'uses-tools' ELSE 'tangential' END AS level
     FROM (SELECT doc_id, max(quality) AS q, min(toxic) AS t FROM labels GROUP BY doc_id))"""
 _DENSE = f"{hashed_sql('docs', 10)}, near AS (SELECT qid, record_id AS artifact_id, rank FROM dense)"
@@ -212,16 +223,19 @@ ORACLE_SQL = {
     "sweep_selector": f"{_SWEEP} SELECT * FROM cells_",
     "pareto_frontier": f"""{_SWEEP} SELECT cell, precision, recall FROM cells_ a WHERE precision IS NOT NULL AND recall IS NOT NULL AND NOT EXISTS (
         SELECT 1 FROM cells_ b WHERE b.precision >= a.precision AND b.recall >= a.recall AND (b.precision > a.precision OR b.recall > a.recall))""",
-    "calibrate_floor": f"""WITH {_BASE}, {_TOPS}, s AS (SELECT DISTINCT top FROM tops WHERE top IS NOT NULL), m AS (SELECT (top + lead(top) OVER (ORDER BY top)) / 2 AS floor FROM s),
-        f AS (SELECT floor FROM m WHERE floor IS NOT NULL UNION SELECT min(top) - 1 FROM s UNION SELECT max(top) + 1 FROM s),
+    "calibrate_floor": f"""WITH {_BASE}, {_TOPS}, s AS (SELECT DISTINCT top FROM tops WHERE top IS NOT NULL AND positive IS NOT NULL), m AS (SELECT (top + lead(top) OVER (ORDER BY top)) / 2 AS floor FROM s),
+        e AS (SELECT min(top) AS a, max(top) AS b, CASE WHEN count(*) = 1 THEN abs(min(top)) * 0.5::DOUBLE + 1 ELSE (max(top) - min(top)) / count(*) END AS margin FROM s),
+        f AS (SELECT floor FROM m WHERE floor IS NOT NULL UNION SELECT coalesce(a - margin, 0) FROM e UNION SELECT coalesce(b + margin, 0) FROM e),
         o AS (SELECT floor, avg(CASE WHEN positive THEN (coalesce(top, -1e300) >= floor)::INT END) AS sens, avg(CASE WHEN NOT positive THEN (coalesce(top, -1e300) < floor)::INT END) AS spec,
-                     count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn FROM f, tops GROUP BY floor),
-        b AS (SELECT *, round(0.5 * coalesce(sens, 1) + 0.5 * coalesce(spec, 1), 9) AS objective FROM o ORDER BY objective DESC, floor DESC LIMIT 1)
-        SELECT round(floor, 9) AS floor, objective, round(coalesce(sens, 1), 9) AS sensitivity, round(coalesce(spec, 1), 9) AS specificity, round(round(coalesce(sens, 1), 9) + round(coalesce(spec, 1), 9) - 1, 9) AS youden_j,
-               round((round(coalesce(sens, 1), 9) + round(coalesce(spec, 1), 9)) / 2, 9) AS balanced_accuracy, np AS n_positive, nn AS n_negative, coalesce(sens, 1) = 1 AND coalesce(spec, 1) = 1 AS separable FROM b""",
-    "score_summary": f"WITH {_BASE}, {_TOPS} SELECT positive, count(*) AS n, min(top) AS least, round(median(top), 9) AS median, max(top) AS most FROM tops WHERE top IS NOT NULL GROUP BY positive",
-    "graded_ndcg": f"""WITH {_DOCS}, {ASK}, {bm25_sql("docs", 50)}, ranked AS (SELECT qid, record_id AS artifact_id, rank FROM lexical), {_GRADED},
-        qrels AS (SELECT qid, artifact_id, CASE level WHEN 'core' THEN 3.0 WHEN 'strong' THEN 2.0 WHEN 'uses-tools' THEN 1.0 ELSE 0.0 END::DOUBLE AS gain FROM ranked JOIN graded USING (artifact_id)),
+                     count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn, count(*) FILTER (positive IS NULL) AS nm FROM f, tops GROUP BY floor),
+        b AS (SELECT *, round(0.5 * coalesce(sens, 1) + 0.5 * coalesce(spec, 1), 9) AS objective, np > 0 AND nn > 0 AS ok FROM o ORDER BY objective DESC, floor DESC LIMIT 1)
+        SELECT CASE WHEN ok THEN round(floor, 9) END AS floor, CASE WHEN ok THEN objective END AS objective, CASE WHEN ok THEN round(sens, 9) WHEN np > 0 THEN 1.0 END AS sensitivity, CASE WHEN ok THEN round(spec, 9) WHEN nn > 0 THEN 1.0 END AS specificity,
+               CASE WHEN ok THEN round(round(sens, 9) + round(spec, 9) - 1, 9) END AS youden_j, CASE WHEN ok THEN round((round(sens, 9) + round(spec, 9)) / 2, 9) END AS balanced_accuracy,
+               np AS n_positive, nn AS n_negative, nm AS n_missed, ok AND EXISTS (SELECT 1 FROM o WHERE sens = 1 AND spec = 1) AS separable,
+               CASE WHEN ok THEN 'calibrated' WHEN np = 0 AND nn = 0 THEN 'no_cases' WHEN np = 0 THEN 'no_positive_cases' ELSE 'no_abstention_cases' END AS reason FROM b""",
+    "score_summary": f"WITH {_BASE}, {_TOPS} SELECT positive, count(*) AS n, min(top) AS least, round(median(top), 9) AS median, max(top) AS most FROM tops WHERE top IS NOT NULL AND positive IS NOT NULL GROUP BY positive",
+    "graded_ndcg": f"""WITH {_DOCS}, {ASK}, {bm25_sql("docs", 10)}, ranked AS (SELECT qid, record_id AS artifact_id, rank FROM lexical), {_GRADED},
+        qrels AS (SELECT qid, artifact_id, CASE level WHEN 'core' THEN 3.0 WHEN 'strong' THEN 2.0 WHEN 'uses-tools' THEN 1.0 ELSE 0.0 END::DOUBLE AS gain FROM (SELECT DISTINCT qid FROM ranked), graded),
         {_metrics_sql("qrels", "ranked", 10)} SELECT qid, ndcg FROM per""",
     "level_histogram": f"""WITH {_GRADED}, levels AS (SELECT * FROM (VALUES ('none', 0), ('tangential', 0), ('uses-tools', 1), ('strong', 2), ('core', 3)) v(level, gain))
         SELECT l.level, l.gain, count(g.level) AS n FROM levels l LEFT JOIN graded g USING (level) GROUP BY ALL""",
@@ -231,12 +245,14 @@ ORACLE_SQL = {
         FROM members m LEFT JOIN ranked r ON r.qid = m.qid AND r.artifact_id = m.artifact_id AND r.rank <= 5 GROUP BY ALL""",
     "compare_indexings": f"""WITH {_BASE}, {_DENSE} SELECT 'dense' AS label, g.qid, g.artifact_id, r.rank AS base_rank, n.rank AS rank, coalesce(n.rank, 1000000000) > coalesce(r.rank, 1000000000) AS regressed
         FROM gold g LEFT JOIN ranked r ON r.qid = g.qid AND r.artifact_id = g.artifact_id LEFT JOIN near n ON n.qid = g.qid AND n.artifact_id = g.artifact_id""",
-    "distractor_curve": f"""WITH {_DOCS}, {ASK}, {_GOLD}, {bm25_sql("docs", 200)}, one AS (SELECT qid, min(artifact_id) AS g FROM gold GROUP BY qid),
-        own AS (SELECT o.qid, coalesce(l.score, 0) AS own FROM one o LEFT JOIN lexical l ON l.qid = o.qid AND l.record_id = o.g),
-        mix AS (SELECT l.qid, trial, l.score, row_number() OVER (PARTITION BY l.qid, trial ORDER BY sha256('0/' || trial || '/' || l.record_id), l.record_id) AS n
-                FROM lexical l JOIN one o USING (qid), (SELECT unnest(range(3)) AS trial) WHERE l.record_id <> o.g),
-        cells AS (SELECT qid, trial, size FROM own, (SELECT unnest(range(3)) AS trial), (SELECT unnest([1, 4, 16, 64])::INT AS size)),
-        lost AS (SELECT a.qid, a.trial, a.size, max((m.score >= o.own)::INT) AS lost FROM cells a JOIN own o USING (qid) LEFT JOIN mix m ON m.qid = a.qid AND m.trial = a.trial AND m.n <= a.size - 1 GROUP BY ALL)
+    "distractor_curve": f"""WITH {_DOCS}, {ASK}, {_GOLD}, {bm25_sql("docs", None)}, one AS (SELECT qid, min(artifact_id) AS g FROM gold GROUP BY qid),
+        own AS (SELECT o.qid, o.g, coalesce(l.score, 0) AS own FROM one o LEFT JOIN lexical l ON l.qid = o.qid AND l.record_id = o.g),
+        size_ AS (SELECT count(DISTINCT record_id) AS n FROM docs), t AS (SELECT unnest(range({TRIALS})) AS trial),
+        drawn AS (SELECT trial, record_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('0/' || trial || '/' || record_id), record_id) AS place FROM docs, t QUALIFY place <= {max(SIZES) + 1}),
+        mix AS (SELECT o.qid, d.trial, coalesce(l.score, 0) AS score, o.own, row_number() OVER (PARTITION BY o.qid, d.trial ORDER BY d.place) AS n
+                FROM own o JOIN drawn d ON d.record_id <> o.g LEFT JOIN lexical l ON l.qid = o.qid AND l.record_id = d.record_id),
+        cells AS (SELECT DISTINCT qid, trial, least(s, size_.n)::INT AS size FROM own, t, (SELECT unnest({list(SIZES)!r}) AS s), size_ WHERE trial = 0 OR s < size_.n),
+        lost AS (SELECT c.qid, c.trial, c.size, max((m.score >= m.own)::INT) AS lost FROM cells c LEFT JOIN mix m ON m.qid = c.qid AND m.trial = c.trial AND m.n <= c.size - 1 GROUP BY ALL)
         SELECT size, round(avg(1.0 - coalesce(lost, 0)), 9) AS accuracy, count(*) AS n FROM lost GROUP BY size""",
     "generated_cases": rf"""WITH {_DOCS}, w AS (SELECT DISTINCT record_id, unnest({tokens_sql("text")}) AS term FROM docs), l AS (SELECT * FROM w WHERE length(term) > 2),
         f AS (SELECT term, count(*) AS df FROM l GROUP BY term), n AS (SELECT record_id, term, row_number() OVER (PARTITION BY record_id ORDER BY df, term) AS n FROM l JOIN f USING (term))

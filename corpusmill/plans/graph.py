@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import graph, grep, ranking, synonyms
 from corpusmill.plans.blocks import CORPUS, QUERIES as ASK, bm25_sql, corpus, passages
-from corpusmill.runtime import table
+from corpusmill.runtime import cut, table
 
 NOW = "2025-01-01 00:00:00"
 LEDGER = [
@@ -74,11 +74,14 @@ def walk_reverse_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_collapsed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = corpus(spark, sf_dir)
-    every = ranking.bm25(records, passages(spark, sf_dir)).drop("rank").join(records.drop("text"), "record_id")
-    summaries = ranking.top(every.where("surface_kind = 'synopsis'"), None)
-    leaves = every.where("surface_kind IN ('chunk', 'readme_chunk')").select("qid", "source", "artifact_id", "record_id", "score")
-    return graph.collapsed_tree(summaries, leaves, 10)
+    """Summaries are ranked first; only leaves of the artifacts that they route to are scored."""
+    records, asked = corpus(spark, sf_dir), passages(spark, sf_dir)
+    place = records.select("record_id", "source", "artifact_id", "surface_kind")
+    summaries = place.where("surface_kind = 'synopsis'")
+    hits = ranking.bm25(records, asked, only=summaries.select("record_id")).drop("rank").join(summaries, "record_id")
+    seeds = cut(graph.tree_seeds(hits, 10))
+    stored = place.where("surface_kind IN ('chunk', 'readme_chunk')").join(seeds.select("source", "artifact_id").distinct(), ["source", "artifact_id"], "left_semi")
+    return graph.collapsed_tree(seeds, stored, ranking.bm25(records, asked, only=stored.select("record_id")))
 
 
 def grep_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +137,9 @@ _LINKS = f"""edges AS (SELECT source, artifact_id, edge_type, coalesce(target_so
     WHERE target_id IS NOT NULL AND trim(target_id) <> '' AND artifact_id IS NOT NULL GROUP BY ALL),
 nodes AS (SELECT DISTINCT source, artifact_id FROM artifacts WHERE artifact_id IS NOT NULL),
 loose AS (SELECT source, {_NORM.format(x="artifact_id")} AS k, min(artifact_id) AS id FROM nodes GROUP BY ALL),
-resolved AS (SELECT * FROM (SELECT e.*, coalesce(n.artifact_id, CASE WHEN e.edge_type = 'REF' THEN l.id END) AS node_id FROM edges e
+resolved AS (SELECT * FROM (SELECT e.*, coalesce(n.artifact_id, CASE WHEN e.edge_type = 'REF' AND e.target_source = e.source THEN coalesce(l.id, {_NORM.format(x="e.target_id")}) ELSE e.target_id END) AS node_id FROM edges e
     LEFT JOIN nodes n ON n.source = e.target_source AND n.artifact_id = e.target_id
-    LEFT JOIN loose l ON l.source = e.target_source AND l.k = {_NORM.format(x="e.target_id")}) WHERE node_id IS NOT NULL),
+    LEFT JOIN loose l ON l.source = e.target_source AND l.k = {_NORM.format(x="e.target_id")})),
 back AS (SELECT DISTINCT target_source AS source, node_id AS artifact_id, source AS from_source, artifact_id AS from_id FROM resolved WHERE edge_type = 'REF'),
 degree AS (SELECT source, artifact_id, count(*) AS fan_in FROM back GROUP BY ALL),
 down AS (SELECT DISTINCT target_source AS source, node_id AS artifact_id, source AS to_source, artifact_id AS to_id FROM resolved WHERE edge_type = 'PARENT')"""
@@ -174,12 +177,15 @@ ORACLE_SQL = {
         w AS (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2)
         SELECT w.qid, w.source, w.artifact_id, w.depth, round(coalesce(b.score, 0.0) + 0.5 * coalesce(d.fan_in / (SELECT max(fan_in) FROM degree)::DOUBLE, 0.0) + 0.25 / (1.0 + w.depth)::DOUBLE, 9) AS score
         FROM w LEFT JOIN best b USING (qid, source, artifact_id) LEFT JOIN degree d ON d.source = w.source AND d.artifact_id = w.artifact_id""",
-    "walk_collapsed_tree": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=None)}, e AS (SELECT l.qid, l.record_id, l.score, c.source, c.artifact_id, c.surface_kind FROM lexical l JOIN corpus c USING (record_id)),
-        s AS (SELECT * FROM e WHERE surface_kind = 'synopsis' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, record_id) <= 10),
-        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid, source, artifact_id ORDER BY score DESC, record_id DESC) = 1),
-        v AS (SELECT * FROM e WHERE surface_kind IN ('chunk', 'readme_chunk'))
-        SELECT b.qid, b.source, b.artifact_id, coalesce(v.record_id, b.record_id) AS record_id, coalesce(v.score, b.score) AS score, v.record_id IS NULL AS is_summary
-        FROM b LEFT JOIN v ON v.qid = b.qid AND v.source = b.source AND v.artifact_id = b.artifact_id""",
+    "walk_collapsed_tree": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=None)}, e AS (SELECT l.qid, l.record_id, l.score, c.source, c.artifact_id FROM lexical l JOIN corpus c USING (record_id) WHERE c.surface_kind = 'synopsis'),
+        b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY qid, source, artifact_id ORDER BY score DESC, record_id DESC) = 1),
+        s AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, source, artifact_id) <= 10),
+        v AS (SELECT source, artifact_id, record_id FROM corpus WHERE surface_kind IN ('chunk', 'readme_chunk')),
+        r AS (SELECT s.qid, s.source, s.artifact_id, s.record_id AS self_id, s.score AS self_score, v.record_id FROM s LEFT JOIN v USING (source, artifact_id)),
+        f AS (SELECT r.*, coalesce(l.score, 0.0) AS score FROM r LEFT JOIN lexical l ON l.qid = r.qid AND l.record_id = r.record_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, record_id) AS n FROM f WHERE record_id IS NOT NULL), m AS (SELECT qid, 64 - count(*) AS room FROM s GROUP BY qid)
+        SELECT k.qid, source, artifact_id, record_id, score, false AS is_summary FROM k JOIN m USING (qid) WHERE n <= room
+        UNION ALL SELECT qid, source, artifact_id, self_id, self_score, true FROM f WHERE record_id IS NULL""",
     "grep_rank": r"""WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, chr(13))), lambda x: regexp_matches(x, '(?i)falls back to an? \w+ (?:ledger|cache|queue)')) AS m FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, round(len(m) * CASE WHEN source = 'web' THEN 0.5 ELSE 1.0 END, 9)::DOUBLE AS score, len(m)::BIGINT AS n_lines, left(trim(m[1], E' \t\r\n'), 200) AS snippet
         FROM l WHERE len(m) > 0 ORDER BY score DESC, doc_id LIMIT 50""",
@@ -187,10 +193,9 @@ ORACLE_SQL = {
         SELECT doc_id, round(len(m) * CASE WHEN updated_at IS NULL THEN 1.0 ELSE pow(0.5, greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400e6) / 90.0) END, 9)::DOUBLE AS score,
                len(m)::BIGINT AS n_lines, left(trim(m[1], E' \t\r\n'), 200) AS snippet FROM l WHERE len(m) > 0 ORDER BY score DESC, doc_id LIMIT 50""",
     "grep_paths": f"WITH {_LINKS} SELECT source, artifact_id FROM nodes WHERE regexp_matches(artifact_id, '(?s)^.*/docs/.*\\.md$')",
-    "synonym_expand": rf"""WITH {_PAIRS}, p AS (SELECT *, '(?i)' || CASE WHEN len(list_filter(string_split_regex(f, '[-_\s]+'), lambda w: length(w) > 4)) = 0 THEN '\b' ELSE '' END
-                || array_to_string(string_split_regex(f, '[-_\s]+'), '[-_ ]?') || CASE WHEN len(list_filter(string_split_regex(f, '[-_\s]+'), lambda w: length(w) > 4)) = 0 THEN '\b' ELSE '' END AS re FROM pairs),
-        h AS (SELECT item_id AS qid, text, p.*, min(fp) OVER (PARTITION BY item_id, entry) AS first FROM benchmark JOIN p ON regexp_matches(text, re)),
-        m AS (SELECT qid, entry, tp, regexp_replace(text, re, t, 'g') AS text FROM h WHERE fp = first),
+    "synonym_expand": rf"""WITH {_PAIRS}, p AS (SELECT *, '(?i)(^|[^\p{{L}}\p{{N}}_])(' || array_to_string(string_split_regex(f, '[-_\s]+'), '[-_ ]?') || ')($|[^\p{{L}}\p{{N}}_])' AS re FROM pairs),
+        h AS (SELECT item_id AS qid, text, p.*, min((-length(f), fp)) OVER (PARTITION BY item_id, entry) AS first FROM benchmark JOIN p ON regexp_matches(text, re)),
+        m AS (SELECT qid, entry, tp, regexp_replace(text, re, '\1' || t || '\3') AS text FROM h WHERE (-length(f), fp) = first),
         o AS (SELECT m.qid, m.text, min(entry * 100 + tp) AS o FROM m JOIN benchmark b ON b.item_id = m.qid WHERE m.text <> b.text GROUP BY ALL UNION ALL SELECT item_id, text, -1 FROM benchmark)
         SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY o, text) - 1)::INT AS variant, text FROM o QUALIFY variant < 6""",
     "synonym_aliases": rf"""WITH {_PAIRS}, a AS (SELECT unnest(['Step', 're-use', 'claims', 'says', 'none']) AS term), s AS (SELECT term, trim(regexp_replace(lower(term), '[-_\s]+', ' ', 'g')) AS s FROM a),

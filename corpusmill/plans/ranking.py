@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "hybrid_blend": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=50)}, {hashed_sql(fetch=50)},
         both_ AS (SELECT qid, record_id, coalesce(d.score, 0) AS ds, coalesce(d.rank, 1 << 30) AS dr, coalesce(l.score, 0) AS ls, coalesce(l.rank, 1 << 30) AS lr
                   FROM dense d FULL JOIN lexical l USING (qid, record_id)),
-        b AS (SELECT *, round(0.5 * ds + 0.5 * ls / (ls + 8.0), 9) AS score FROM both_)
+        b AS (SELECT *, round(CASE WHEN qid NOT IN (SELECT qid FROM lexical) THEN ds WHEN qid NOT IN (SELECT qid FROM dense) THEN ls ELSE 0.5 * ds + 0.5 * ls / (ls + 8.0) END, 9) AS score FROM both_)
         SELECT qid, record_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dr, lr, record_id)::INT AS rank FROM b QUALIFY rank <= 10""",
     "search_hybrid": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=50)}, {hashed_sql(fetch=50)}, {_RRF}, cut_ AS (SELECT * FROM hits WHERE rank <= 50)
         SELECT {_OUT} FROM {BEST_PER_ARTIFACT.format(hits=_JOINED.format(hits="cut_"))} WHERE rank <= 10""",
@@ -166,7 +166,7 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, record_id)::INT AS rank FROM w)
         SELECT {_OUT} FROM {BEST_PER_ARTIFACT.format(hits="SELECT * FROM r WHERE rank <= 50")} WHERE rank <= 10""",
     "dep_boosted": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=50)},
-        j AS (SELECT h.*, c.source, c.artifact_id, c.surface_kind, c.surface_index, len(list_intersect(list_distinct({tokens_sql("c.text")}), {LIBS!r})) AS n
+        j AS (SELECT h.*, c.source, c.artifact_id, c.surface_kind, c.surface_index, len(list_intersect(list_distinct(list_transform({tokens_sql("c.text")}, lambda x: regexp_replace(x, '[-_.]+', '-', 'g'))), {LIBS!r})) AS n
               FROM lexical h JOIN corpus c USING (record_id)),
         w AS (SELECT * EXCLUDE (score, rank, n), round(score + 2.0 * least(n, 2) / 2.0, 9) AS score FROM j),
         r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, record_id)::INT AS rank FROM w)

@@ -92,9 +92,9 @@ ORACLE_SQL = {
     "rerank_artifact_text": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=2)}, seeds AS (SELECT l.qid, l.record_id AS seed_id, c.source, c.artifact_id FROM lexical l JOIN corpus c USING (record_id)),
         m AS (SELECT s.qid, s.seed_id, c.record_id, c.surface_kind, c.surface_index, c.text FROM seeds s JOIN corpus c USING (source, artifact_id)),
         l AS (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS pt, lag(surface_kind) OVER w AS pk, lag(surface_index) OVER w AS pi FROM m WINDOW w AS (PARTITION BY qid, seed_id ORDER BY surface_index, record_id)),
-        o AS (SELECT *, CASE WHEN pk = surface_kind AND surface_index = pi + 1 THEN coalesce(list_max(list_filter(range(8, least(length(pt), length(text), 4000) + 1), lambda x: right(pt, x) = left(text, x))), 0) ELSE 0 END AS sh FROM l),
+        o AS (SELECT *, CASE WHEN pk = surface_kind AND surface_index = pi + 1 THEN coalesce(list_max(list_filter(range(8, least(length(pt), length(text)) + 1), lambda x: right(pt, x) = left(text, x))), 0) ELSE 0 END AS sh FROM l),
         p AS (SELECT qid, seed_id, string_agg(CASE WHEN n = 1 THEN text WHEN sh > 0 THEN substring(text, sh + 1) ELSE E'\\n\\n' || text END, '' ORDER BY n) AS passage FROM o GROUP BY qid, seed_id)
-        SELECT qid, seed_id AS record_id, length(left(passage, 500))::INT AS n FROM p""",
+        SELECT qid, seed_id AS record_id, length(left(passage, 2000))::INT AS n FROM p""",
     "agent_search": f"""WITH {CORPUS}, {ASK}, pool AS (SELECT * FROM corpus WHERE source IS DISTINCT FROM 'web'), {bm25_sql("pool", 50)},
         r AS (SELECT * FROM {BEST_PER_ARTIFACT.format(hits=_JOINED.format(hits="lexical"))} WHERE rank <= 3)
         SELECT q.qid, count(r.qid)::INT AS n_hits, max(CASE WHEN r.rank = 1 THEN r.artifact_id END) AS first_id FROM queries q LEFT JOIN r USING (qid) GROUP BY q.qid""",

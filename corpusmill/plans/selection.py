@@ -116,21 +116,20 @@ asked AS (SELECT DISTINCT qid FROM disclosures WHERE qid IS NOT NULL)"""
 def _conservative_sql(hits: str, max_k: int, rel: float, floor: str = "NULL::DOUBLE") -> str:
     return f"""m AS (SELECT *, first_value(score) OVER w AS top, CASE WHEN first_value(score) OVER w > 0 THEN score / first_value(score) OVER w END AS share FROM {hits} WINDOW w AS (PARTITION BY qid ORDER BY rank)),
 s AS (SELECT *, max(CASE WHEN rank > 1 AND (share IS NULL OR share < {rel}) THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) = 0 AND rank <= {max_k} AS inn FROM m),
-p AS (SELECT qid, count(*) AS n, max(top) AS top_score, count(*) FILTER (inn) AS k, min(share) FILTER (inn) AS min_ratio, string_agg(artifact_id, '|' ORDER BY rank) FILTER (inn) AS ids FROM s GROUP BY qid),
+p AS (SELECT qid, count(*) AS n, max(top) AS top_score, count(*) FILTER (inn) AS k, coalesce(min(share) FILTER (inn), 1.0) AS min_ratio, string_agg(artifact_id, '|' ORDER BY rank) FILTER (inn) AS ids FROM s GROUP BY qid),
 j AS (SELECT a.qid, coalesce(n, 0) AS n, top_score, k, min_ratio, ids, coalesce(top_score < {floor}, false) AS below FROM asked a LEFT JOIN p USING (qid)),
 chosen AS (SELECT qid, CASE WHEN n = 0 OR below THEN '' ELSE ids END AS selected, n = 0 OR below AS abstained,
-    CASE WHEN n = 0 THEN 'abstain:no_candidates' WHEN below THEN 'abstain:below_floor' WHEN top_score <= 0 THEN 'nonpositive_top' WHEN n = 1 THEN 'single'
-         WHEN k >= {max_k} THEN 'max_k' WHEN k = n THEN 'exhausted' ELSE 'rel_threshold' END AS reason,
+    CASE WHEN n = 0 THEN 'abstain:no_candidates' WHEN below THEN 'abstain:below_floor' WHEN top_score > 0 AND k < least(n, {max_k}) THEN 'rel_threshold' WHEN n = 1 THEN 'single'
+         WHEN top_score <= 0 THEN 'nonpositive_top' WHEN n > {max_k} THEN 'max_k' ELSE 'exhausted' END AS reason,
     n AS n_candidates, CASE WHEN n = 0 OR below THEN 0 ELSE k END AS n_selected, top_score, round(CASE WHEN NOT (n = 0 OR below) THEN min_ratio END, 9) AS min_ratio FROM j)"""
 
 
 _FLOOR = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items()) + " END"
-_PHRASE = r"' ' || trim(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) || ' '"
+_WHOLE = r"regexp_matches(lower({t}), '(?:^|[^\p{{L}}\p{{N}}_]){words}(?:$|[^\p{{L}}\p{{N}}_])')"
 _TOP3 = f"{CORPUS}, {ASK}, {bm25_sql(fetch=3)}, seeds AS (SELECT l.qid, l.record_id AS seed_id, c.source, c.artifact_id, c.surface_kind, c.surface_index FROM lexical l JOIN corpus c USING (record_id))"
 _TERMS = ("falls back", "never changes", "zzz")
-_SEEN = ", ".join(
-    f"max(contains(p, ' {t} ')::INT) AS a{k}, max((contains(p, ' {t} ') AND rank <= 3)::INT) AS t{k}" for k, t in enumerate(_TERMS)
-)
+_SAID = ", ".join(_WHOLE.format(t="c.text", words=t.replace(" ", r"\s+")) + f" AS h{k}" for k, t in enumerate(_TERMS))
+_SEEN = ", ".join(f"max(h{k}::INT) AS a{k}, max((h{k} AND rank <= 3)::INT) AS t{k}" for k in range(len(_TERMS)))
 
 ORACLE_SQL = {
     "select_conservative": f"WITH {_LOGGED}, {_conservative_sql('hits', 3, 0.9, '0.9')} SELECT * FROM chosen",
@@ -157,7 +156,7 @@ ORACLE_SQL = {
         per AS (SELECT qid, count(*) AS sources, count(*) FILTER (passes) AS ok, count(floor) AS floored FROM gated GROUP BY qid)
         SELECT c.qid, selected, abstained, CASE WHEN NOT abstained THEN reason WHEN sources IS NULL THEN 'abstain:no_candidates' WHEN ok = 0 AND floored = sources THEN 'abstain:all_sources_below_floor'
                WHEN ok = 0 THEN 'abstain:no_surviving_sources' END AS reason, n_candidates, n_selected FROM chosen c LEFT JOIN per USING (qid)""",
-    "lexical_miss": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=20)}, x AS (SELECT l.qid, l.rank, {_PHRASE.format(t="c.text")} AS p FROM lexical l JOIN corpus c USING (record_id)),
+    "lexical_miss": f"""WITH {CORPUS}, {ASK}, {bm25_sql(fetch=20)}, x AS (SELECT l.qid, l.rank, {_SAID} FROM lexical l JOIN corpus c USING (record_id)),
         s AS (SELECT qid, count(*) AS n, {_SEEN} FROM x GROUP BY qid)
         SELECT q.qid, n IS NULL AS zero_hits, concat_ws(',', {", ".join(f"CASE WHEN coalesce(t{k}, 0) = 0 THEN '{t}' END" for k, t in enumerate(_TERMS))}) AS missing_required,
                concat_ws(',', {", ".join(f"CASE WHEN coalesce(a{k}, 0) = 0 THEN '{t}' END" for k, t in enumerate(_TERMS))}) AS missing_in_candidates FROM queries q LEFT JOIN s USING (qid)""",
@@ -171,7 +170,7 @@ ORACLE_SQL = {
     "expand_parent": f"WITH {_TOP3} SELECT s.qid, s.seed_id, c.record_id, c.surface_index FROM seeds s JOIN corpus c USING (source, artifact_id)",
     "stitched_passages": f"""WITH {_TOP3}, m AS (SELECT s.qid, s.seed_id, c.record_id, c.surface_kind, c.surface_index, c.text FROM seeds s JOIN corpus c USING (source, artifact_id)),
         l AS (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS pt, lag(surface_kind) OVER w AS pk, lag(surface_index) OVER w AS pi FROM m WINDOW w AS (PARTITION BY qid, seed_id ORDER BY surface_index, record_id)),
-        o AS (SELECT *, CASE WHEN pk = surface_kind AND surface_index = pi + 1 THEN coalesce(list_max(list_filter(range(8, least(length(pt), length(text), 4000) + 1), lambda x: right(pt, x) = left(text, x))), 0) ELSE 0 END AS sh FROM l),
+        o AS (SELECT *, CASE WHEN pk = surface_kind AND surface_index = pi + 1 THEN coalesce(list_max(list_filter(range(8, least(length(pt), length(text)) + 1), lambda x: right(pt, x) = left(text, x))), 0) ELSE 0 END AS sh FROM l),
         p AS (SELECT *, CASE WHEN n = 1 THEN text WHEN sh > 0 THEN substring(text, sh + 1) ELSE E'\\n\\n' || text END AS piece FROM o)
         SELECT qid, seed_id, sha256(string_agg(piece, '' ORDER BY n)) AS digest, string_agg(record_id, '|' ORDER BY n) AS record_ids, count(*) AS n_records FROM p GROUP BY qid, seed_id""",
     "torn_ledger": """SELECT DISTINCT source, artifact_id, record_id FROM (SELECT source, artifact_id, unnest(record_ids) AS record_id FROM ledger)

@@ -197,7 +197,7 @@ def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = fn.mentions(F.col("text"), F.lit("falls  back-to"))
+    hit = fn.mentions(F.col("text"), F.lit("Falls  back to"))
     return _documents(spark, sf_dir).select("doc_id", hit.alias("hit"))
 
 
@@ -226,6 +226,23 @@ QUERIES = {
 
 _STRIP = r"E' \t\r\n'"
 _FLAT = r"regexp_replace(text, '\s+', ' ', 'g')"
+
+
+def _chunks_sql(rows: str, size: int, overlap: int, name: str = "pieces") -> str:
+    """CTEs (of WITH RECURSIVE) that end in ``name(id, no, text)``: the texts of ``rows(id, text)`` in chunks, by one step a paragraph."""
+    return rf"""whole_ AS (SELECT id, trim(text, {_STRIP}) AS t FROM {rows} WHERE text IS NOT NULL AND trim(text, {_STRIP}) <> ''),
+    paras AS (SELECT id, list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda p: trim(p, {_STRIP})), lambda p: p <> '') AS ps FROM whole_ WHERE length(t) > {size}),
+    step_ AS (SELECT id, ps, 0 AS i, '' AS open_, []::VARCHAR[] AS done FROM paras
+        UNION ALL SELECT id, ps, i + 1,
+            CASE WHEN length(p) > {size} THEN '' WHEN open_ = '' THEN p WHEN length(open_) + 2 + length(p) > {size} THEN trim(right(open_, {overlap}) || E'\n\n' || p, {_STRIP}) ELSE open_ || E'\n\n' || p END,
+            CASE WHEN length(p) > {size} THEN list_concat(CASE WHEN open_ = '' THEN done ELSE list_append(done, open_) END,
+                     list_filter(list_transform(range(0, length(p), {size - overlap}), lambda k: substring(p, k + 1, {size})), lambda w: trim(w, {_STRIP}) <> ''))
+                 WHEN open_ <> '' AND length(open_) + 2 + length(p) > {size} THEN list_append(done, open_) ELSE done END
+        FROM (SELECT *, ps[i + 1] AS p FROM step_ WHERE i < len(ps))),
+    lists_ AS (SELECT id, CASE WHEN open_ = '' THEN done ELSE list_append(done, open_) END AS l FROM step_ WHERE i = len(ps) UNION ALL SELECT id, [t] FROM whole_ WHERE length(t) <= {size}),
+    {name} AS (SELECT id, unnest(range(0, len(l)))::INT AS no, unnest(l) AS text FROM lists_)"""
+
+
 _CURRENT = """cur AS (SELECT source, artifact_id, name, raw AS text, modified_at FROM artifacts
     QUALIFY row_number() OVER (PARTITION BY source, artifact_id ORDER BY modified_at DESC NULLS LAST, name DESC NULLS LAST, raw DESC NULLS LAST) = 1)"""
 _SKILLS = r"""skill_rows AS (SELECT * FROM (SELECT doc_id, nullif(regexp_extract(text, '(?m)^name: ([^\r\n]*)', 1), '') AS name,
@@ -233,6 +250,8 @@ _SKILLS = r"""skill_rows AS (SELECT * FROM (SELECT doc_id, nullif(regexp_extract
     FROM documents WHERE kind = 'skill' AND text IS NOT NULL) WHERE name IS NOT NULL)"""
 
 ORACLE_SQL = {
+    "surfaces_chunked": f"""WITH RECURSIVE d AS (SELECT doc_id AS id, text FROM documents), {_chunks_sql("d", 1200, 200)}
+        SELECT id AS doc_id, no AS surface_index, 'chunk' AS surface_kind, sha256(text) AS digest, length(text)::INT AS n FROM pieces""",
     "surfaces_wholetext": f"""SELECT doc_id, 0 AS surface_index, 'document' AS surface_kind, 'document' AS granularity, text
         FROM documents WHERE text IS NOT NULL AND trim(text, {_STRIP}) <> ''""",
     "surfaces_hard_windows": f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS window_no, sha256(p) AS digest FROM (
@@ -242,7 +261,7 @@ ORACLE_SQL = {
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS window_no, sha256(p) AS digest FROM (
             SELECT doc_id, i, trim(array_to_string(list_slice(w, i, i + 127), ''), {_STRIP}) AS p FROM w, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 21) + 1, 107)) AS i) WHERE len(w) > 0)
         WHERE p <> ''""",
-    "balanced_windows": """WITH d AS (SELECT doc_id, text, length(text) AS l FROM documents WHERE text IS NOT NULL AND text <> ''),
+    "balanced_windows": f"""WITH t AS (SELECT doc_id, trim(text, {_STRIP}) AS text FROM documents), d AS (SELECT *, length(text) AS l FROM t WHERE text IS NOT NULL AND text <> ''),
         n AS (SELECT *, CASE WHEN l <= 1200 THEN 1 ELSE greatest(1, ceil((l - 200) / 1000.0)::INT) END AS n FROM d),
         w AS (SELECT *, CASE WHEN n = 1 THEN l ELSE ceil((l + (n - 1) * 200) / n::DOUBLE)::INT END AS width FROM n)
         SELECT doc_id, i::INT AS window_no, sha256(substring(text, (i * (width - CASE WHEN n = 1 THEN 0 ELSE 200 END))::INT + 1, width)) AS digest,
@@ -261,19 +280,22 @@ ORACLE_SQL = {
         i AS (SELECT CASE WHEN k > 1 THEN name || '@' || parent ELSE name END AS artifact_id, name, description, parent, doc_id FROM n)
         SELECT artifact_id, parent, 0 AS surface_index, 'capability' AS surface_kind, 'document' AS granularity, trim(name || E'\\n\\n' || coalesce(description, ''), {_STRIP}) AS text
         FROM i QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY doc_id DESC) = 1""",
-    "surfaces_package": r"""WITH d AS (SELECT doc_id, regexp_extract(text, '^# ([^\r\n]*)', 1) AS name, coalesce(project, 'none') AS parent, regexp_extract(text, '^# [^\r\n]*\n\n([^\r\n]+)', 1) AS de,
-               list_distinct(regexp_extract_all(text, '`([a-z]+)\.', 1)) AS un, regexp_extract_all(text, '`([a-z]+)\.', 1) AS al, trim(text) <> '' AS has_readme FROM documents WHERE kind = 'readme' AND text LIKE '# %'),
+    "surfaces_package": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract(text, '^# ([^\r\n]*)', 1) AS name, coalesce(project, 'none') AS parent, regexp_extract(text, '^# [^\r\n]*\n\n([^\r\n]+)', 1) AS de,
+               list_distinct(regexp_extract_all(text, '`([a-z]+)\.', 1)) AS un, regexp_extract_all(text, '`([a-z]+)\.', 1) AS al, trim(text) <> '' AS has_readme, left(text, 20000) AS readme FROM documents WHERE kind = 'readme' AND text LIKE '# %'),
         k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS k FROM d WHERE NOT regexp_matches(name, '^x')),
         i AS (SELECT *, CASE WHEN k > 1 THEN name || '@' || parent ELSE name END AS artifact_id, trim(de) AS description,
-                     array_to_string(list_transform(list_filter(list_zip(al, range(1, len(al) + 1)), lambda z: list_position(al, z[1]) = z[2]), lambda z: z[1]), ', ') AS deps FROM k)
-        SELECT artifact_id, has_readme, 'description' AS surface_kind, name || ': ' || description AS text FROM i WHERE description <> ''
-        UNION ALL SELECT artifact_id, has_readme, 'deps', 'Depends on: ' || deps FROM i WHERE deps <> ''""",
+                     array_to_string(list_transform(list_filter(list_zip(al, range(1, len(al) + 1)), lambda z: list_position(al, z[1]) = z[2]), lambda z: z[1]), ', ') AS deps FROM k)"""
+    + rf""", r AS (SELECT doc_id AS id, readme AS text FROM i), {_chunks_sql("r", 1500, 200)},
+        u AS (SELECT doc_id, 0 AS o, 'description' AS surface_kind, CASE WHEN description <> '' THEN name || ': ' || description ELSE '' END AS text FROM i
+              UNION ALL SELECT id, 1 + no, 'readme_chunk', text FROM pieces UNION ALL SELECT doc_id, 1000000, 'deps', CASE WHEN deps <> '' THEN 'Depends on: ' || deps ELSE '' END FROM i)
+        SELECT i.artifact_id, i.has_readme, (row_number() OVER (PARTITION BY u.doc_id ORDER BY o) - 1)::INT AS surface_index, u.surface_kind, u.text
+        FROM u JOIN i USING (doc_id) WHERE trim(u.text, {_STRIP}) <> ''""",
     "tool_records": r"""WITH j AS (SELECT split_part(text, E'\n', 1) AS s FROM documents WHERE kind = 'tool_spec' AND text LIKE '{%'),
         v AS (SELECT s FROM j WHERE json_valid(s) AND s->>'$.name' IS NOT NULL)
         SELECT s->>'$.name' AS name, s->>'$.description' AS description, array_to_string(list_sort(json_keys(s, '$.parameters')), ',') AS param_names,
                sha256((s->>'$.name') || E'\n' || (s->>'$.description')) AS digest FROM v""",
     "turn_pairs": """WITH t AS (SELECT user_id AS s, event_id AS turn, event_type, ts FROM events WHERE event_type IN ('view', 'error')),
-        r AS (SELECT s, max(ts) AS last FROM t GROUP BY s HAVING max(ts) >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAYS ORDER BY last DESC, s LIMIT 40),
+        r AS (SELECT s, max(ts) AS last FROM t GROUP BY s HAVING max(ts) >= TIMESTAMP '2024-02-01' - INTERVAL 90 DAYS),
         n AS (SELECT t.*, count(CASE WHEN event_type = 'view' THEN 1 END) OVER (PARTITION BY t.s ORDER BY turn) AS pair FROM t JOIN r ON r.s = t.s),
         g AS (SELECT s, pair, max(CASE WHEN event_type = 'view' THEN turn::VARCHAR END) AS q, max(CASE WHEN event_type = 'error' THEN turn END)::VARCHAR AS a,
                      coalesce(string_agg(CASE WHEN event_type = 'error' THEN turn::VARCHAR END, E'\\n\\n' ORDER BY turn), '') AS f FROM n WHERE pair > 0 GROUP BY s, pair)
@@ -281,7 +303,7 @@ ORACLE_SQL = {
     "records_last_wins": """WITH r AS (SELECT coalesce(nullif(name, ''), 'all_' || epoch_us(delivered_at)) AS id, raw, epoch_us(delivered_at) AS t, artifact_id FROM artifacts)
         SELECT id = '' AS empty, count(*) AS n, count(raw) AS with_text FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY t DESC, raw DESC NULLS LAST) = 1) GROUP BY 1""",
     "report_scope": f"""WITH {_CURRENT} SELECT artifact_id, split_part(artifact_id, '/', 1) AS project, split_part(artifact_id, '/', -1) AS filename, length(text)::INT AS n FROM cur
-        WHERE source = 'reports' AND text IS NOT NULL AND trim(text) <> '' AND regexp_matches(artifact_id, '(?:^|/)(?:misc/)?docs/[^/]+\\.md$')
+        WHERE source = 'reports' AND text IS NOT NULL AND trim(text) <> '' AND regexp_matches(artifact_id, '(?:^|/)(?:misc/)?docs/(?:[^/]+/)*[^/]+\\.md$')
           AND NOT regexp_matches(regexp_replace(split_part(artifact_id, '/', -1), '\\.md$', ''), '^[^a-z]*[A-Z][^a-z]*$') AND NOT regexp_matches(artifact_id, '(?:^|/)(?:docs_old|\\.[^/]*)/')""",
     "report_exclusions": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'allcaps' WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'excluded_dir' END AS reason FROM documents""",
     "coverage_report": rf"""WITH {_CURRENT}, h AS (SELECT DISTINCT source, artifact_id FROM records),
@@ -305,7 +327,7 @@ ORACLE_SQL = {
     "sigmoid_scores": "SELECT DISTINCT disclosure_id, round(CASE WHEN score IS NULL OR isnan(score) THEN 0.0 ELSE 1.0 / (1.0 + exp(-greatest(-60.0, least(60.0, score * 4 - 2)))) END, 9)::DOUBLE AS p FROM disclosures",
     "recency_decay": f"SELECT doc_id, round(CASE WHEN updated_at IS NULL THEN 1.0 ELSE pow(0.5, greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400e6) / 90.0) END, 9) AS weight FROM documents",
     "pointers": "SELECT DISTINCT disclosure_id, coalesce(nullif(pointer, ''), nullif(artifact_id, '')) AS target FROM disclosures",
-    "phrase_mentions": r"""SELECT doc_id, coalesce(contains(' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ', ' falls back to '), false) AS hit FROM documents""",
+    "phrase_mentions": r"""SELECT doc_id, coalesce(regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}_])falls\s+back\s+to(?:$|[^\p{L}\p{N}_])'), false) AS hit FROM documents""",
     "metadata_merged": "SELECT DISTINCT surface_id, source AS m_source, coalesce(kind, 'artifact') AS m_kind, coalesce(lower(granularity), 'whole') AS m_granularity FROM surfaces",
 }
 

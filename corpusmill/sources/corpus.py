@@ -99,8 +99,8 @@ def report_exclusion(path: Column, excluded: Iterable[str] = VENDORED) -> Column
 
 
 def reports(rows: DataFrame, path: str = "path", text: str = "text", name: str = "reports", excluded: Iterable[str] = VENDORED) -> CorpusSource:
-    """Markdown reports below ``<project>/docs`` and ``<project>/misc/docs``; blank and excluded ones drop out."""
-    kept = rows.where(F.col(path).rlike(r"(?:^|/)(?:misc/)?docs/[^/]+\.md$") & report_exclusion(F.col(path), excluded).isNull() & (F.btrim(F.col(text)) != ""))
+    """Markdown reports below ``<project>/docs`` and ``<project>/misc/docs``, however deep; blank and excluded ones drop out."""
+    kept = rows.where(F.col(path).rlike(r"(?:^|/)(?:misc/)?docs/(?:[^/]+/)*[^/]+\.md$") & report_exclusion(F.col(path), excluded).isNull() & (F.btrim(F.col(text)) != ""))
     parts = F.split(F.col(path), "/")
     out = kept.select(F.lit(name).alias("source"), F.col(path).alias("artifact_id"), F.col(text).alias("text"), F.element_at(parts, 1).alias("project"), F.element_at(parts, -1).alias("filename"))
     return CorpusSource(name, out, Chunked(), metadata=("project", "filename"))

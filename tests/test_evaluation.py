@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators.skew import running_totals
 from corpusmill.operators import cases, evaluation as ev
 from corpusmill.runtime import shared_dir
 
@@ -52,8 +53,32 @@ def test_calibration(spark):
     got = ev.calibrate(tops).first()
     assert got.floor == pytest.approx(0.55) and got.specificity == 1.0 and got.sensitivity == pytest.approx(2 / 3, abs=1e-8) and not got.separable
     tie = ev.calibrate(spark.createDataFrame([(1, 0.5, True), (2, 0.5, False)], tops.schema)).first()
-    assert tie.floor == pytest.approx(1.5)  # equal objectives: the higher floor
-    assert ev.calibrate(tops.limit(0)).count() == 0
+    assert tie.floor == pytest.approx(1.75)  # equal objectives: the higher floor, half the score and one beyond a single score
+    none = ev.calibrate(tops.limit(0)).first()
+    assert none.floor is None and none.reason == "no_cases" and not none.separable
+    missed = ev.calibrate(spark.createDataFrame([(1, 0.9, True), (2, 0.1, None), (3, 0.3, False), (4, float("nan"), False)], tops.schema)).first()
+    assert (missed.n_positive, missed.n_negative, missed.n_missed, missed.separable) == (1, 2, 1, True) and missed.floor == pytest.approx(0.6)
+    one = ev.calibrate(spark.createDataFrame([(1, 0.9, True), (2, 0.1, None)], tops.schema)).first()
+    assert (one.floor, one.sensitivity, one.specificity, one.reason) == (None, 1.0, None, "no_abstention_cases")
+
+
+def test_running_totals(spark):
+    """Over several partitions, the totals and next values are those of one ordered list."""
+    values = [(float(k * 7 % 101), k % 3, 1) for k in range(101)]
+    df = spark.createDataFrame(values, "x double, a long, b long").repartition(5)
+    got = sorted(((r.x, r.a_run, r.b_run, r.next) for r in running_totals(df, "x", ["a", "b"]).collect()), reverse=True)
+    want, a, b, ordered = [], 0, 0, sorted(values, reverse=True)
+    for k, (x, p, q) in enumerate(ordered):
+        a, b = a + p, b + q
+        want.append((x, a, b, ordered[k + 1][0] if k < 100 else None))
+    assert got == want
+
+
+def test_shared_judgements_count_beyond_the_ranking(spark):
+    ranked = spark.createDataFrame([(1, 1, 1.0, "a"), (1, 2, 0.5, "z")], "qid int, rank int, score double, artifact_id string")
+    grades = spark.createDataFrame([("a", 1.0), ("far", 3.0), ("no", 0.0)], "artifact_id string, gain double")
+    got = ev.per_query(ranked, grades, 2, shared=True).first()
+    assert got.ndcg == pytest.approx(1 / (3 + 1 / math.log2(3)), abs=1e-8) and (got.recall, got.precision, got.rr, got.ap) == (0.5, 0.5, 1.0, 0.5)
 
 
 def test_named_sets_histogram_and_comparison(spark, ranked, gold, rows):

@@ -17,8 +17,11 @@ def test_edges_neighbours_and_resolution(spark, rows):
     )
     nodes = spark.createDataFrame([("s", "foo-bar"), ("s", "a"), ("t", "x")], "source string, artifact_id string")
     assert rows(graph.neighbors(links), "artifact_id", "place", "target_id") == [("a", 1, "x"), ("a", 2, "Foo_Bar"), ("b", 1, "FOO-bar"), ("d", 1, "foo.bar")]
-    assert rows(graph.resolve(nodes, links), "artifact_id", "node_id") == [("a", "foo-bar"), ("a", "x"), ("d", "foo-bar")]
+    # a target outside the corpus is a node too, so what depends on it is found; other types and other sources compare exactly
+    assert rows(graph.resolve(nodes, links), "artifact_id", "node_id", "inside") == [("a", "foo-bar", True), ("a", "x", True), ("b", "FOO-bar", False), ("d", "foo-bar", True)]
     assert rows(graph.fan_in(nodes, links)) == [("s", "foo-bar", 2), ("t", "x", 1)]
+    away = links.unionByName(spark.createDataFrame([("s", "d", "REF", 1, None, "Scikit_Learn"), ("s", "a", "REF", 2, None, "scikit-learn"), ("s", "a", "REF", 3, "t", "X")], LINKS))
+    assert rows(graph.fan_in(nodes, away)) == [("s", "foo-bar", 2), ("s", "scikit-learn", 2), ("t", "X", 1), ("t", "x", 1)]
 
 
 def test_walk_in_a_ring_with_budget(spark, rows):
@@ -30,9 +33,14 @@ def test_walk_in_a_ring_with_budget(spark, rows):
 
 
 def test_collapsed_tree(spark, rows):
-    hits = spark.createDataFrame([(1, "s", "a", "r1", 0.9, 1), (1, "s", "b", "r2", 0.5, 2)], "qid int, source string, artifact_id string, record_id string, score double, rank int")
-    leaves = spark.createDataFrame([(1, "s", "a", "l1", 0.2), (1, "s", "a", "l2", 0.3)], "qid int, source string, artifact_id string, record_id string, score double")
-    assert rows(graph.collapsed_tree(hits, leaves), "record_id", "score", "is_summary") == [("l1", 0.2, False), ("l2", 0.3, False), ("r2", 0.5, True)]
+    """Stored leaves make a router, whether they share a word with the query or not; artifacts are seeded once each."""
+    hits = spark.createDataFrame([(1, "s", "a", "r1", 0.9), (1, "s", "a", "r0", 0.8), (1, "s", "b", "r2", 0.5), (1, "s", "c", "r3", 0.1)], "qid int, source string, artifact_id string, record_id string, score double")
+    stored = spark.createDataFrame([("s", "a", "l1"), ("s", "a", "l2"), ("s", "c", "l3")], "source string, artifact_id string, record_id string")
+    scores = spark.createDataFrame([(1, "l2", 0.3)], "qid int, record_id string, score double")
+    seeds = graph.tree_seeds(hits, 2)
+    assert rows(seeds, "artifact_id", "self_id") == [("a", "r1"), ("b", "r2")]
+    assert rows(graph.collapsed_tree(seeds, stored, scores), "record_id", "score", "is_summary") == [("l1", 0.0, False), ("l2", 0.3, False), ("r2", 0.5, True)]
+    assert rows(graph.collapsed_tree(seeds, stored, scores, node_budget=3), "record_id") == [("l2",), ("r2",)]
 
 
 @pytest.mark.parametrize("pattern, fixed, want", [("cat", False, {"a": 2, "b": 1}), ("^cat", False, {"a": 1}), ("a.c", True, {}), ("ca[t]$", False, {"a": 2}), ("C(T", True, {"c": 1})])
@@ -61,3 +69,13 @@ def test_synonyms(spark, rows):
     assert len(rows(synonyms.expand_queries(asked, ledger, 2))) == 5
     before, after = (spark.createDataFrame(d, "entry int, ndcg double") for d in ([(0, 0.5), (1, 0.5)], [(0, 0.6), (1, 0.5), (2, 0.1)]))
     assert rows(synonyms.verdicts(before, after), "entry", "verdict") == [(0, "helps"), (1, "no_effect"), (2, "unverifiable")]
+
+
+def test_one_whole_word_is_swapped(spark, rows):
+    ledger = synonyms.ledger(spark, synonyms.parse_ledger([json.dumps({"terms": ["cache", "buffer", "$1 pool\\\\"]}), json.dumps({"terms": ["db", "data base", "data-base"]})]))
+    asked = spark.createDataFrame([(1, "cached pages and a cache in the cache"), (2, "a data_base or db")], "qid int, text string")
+    assert rows(synonyms.expand_queries(asked, ledger)) == [
+        (1, 0, "cached pages and a cache in the cache"), (1, 1, "cached pages and a buffer in the cache"), (1, 2, "cached pages and a $1 pool\\\\ in the cache"),
+        (2, 0, "a data_base or db"), (2, 1, "a db or db"),
+    ]
+    assert synonyms.term_regex("db", "data base") == r"(?i)data[-_ ]?base|\bdb\b"

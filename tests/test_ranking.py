@@ -124,3 +124,18 @@ def test_fuse_hits(spark, rows):
     assert fused[1, "x", "a"].score == pytest.approx(1 / 61, abs=1e-8) and fused[2, "x", "a"].score == 0.7
     by_id = ranking.fuse_hits(hits.where("qid = 1"), identity="artifact_id").where("rank = 1").first()
     assert (by_id.artifact_id, by_id.fused_sources) == ("a", "x,y") and by_id.score == pytest.approx(2 / 61, abs=1e-8)
+
+
+def test_blend_without_one_channel_keeps_the_other(spark, rows):
+    kind = "qid int, record_id string, score double, rank int"
+    dense = spark.createDataFrame([(1, "a", 0.8, 1), (2, "a", 0.6, 1)], kind)
+    lexical = spark.createDataFrame([(2, "a", 8.0, 1), (3, "b", 5.0, 1)], kind)
+    assert rows(ranking.blend(dense, lexical), "qid", "record_id", "score") == [(1, "a", 0.8), (2, "a", 0.55), (3, "b", 5.0)]
+
+
+def test_boost_by_normalised_names(spark, rows):
+    hits = spark.createDataFrame([(1, "a", 0.4, ["NetworkX>=3", "networkx"]), (1, "b", 0.45, ["anyio"]), (1, "c", 0.1, None)], "qid int, record_id string, score double, deps array<string>").withColumn("rank", F.lit(1))
+    assert rows(ranking.boosted(hits, F.array(F.lit("networkx")), F.col("deps"), 0.1), "record_id", "score", "rank") == [("a", 0.5, 1), ("b", 0.45, 2), ("c", 0.1, 3)]
+    for bad in ((float("nan"), 1), (0.1, 0)):
+        with pytest.raises(ValueError):
+            ranking.boosted(hits, F.array(F.lit("x")), F.col("deps"), *bad)

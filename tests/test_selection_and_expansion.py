@@ -70,3 +70,27 @@ def test_expand(spark):
     assert window[1].record_ids == "r0|r1|r3"
     with pytest.raises(ValueError):
         expansion.expand(hits, records, "x")
+
+
+def test_reasons_of_the_conservative_choice(spark):
+    def chosen(scores, **kw):
+        hits = spark.createDataFrame([(1, k + 1, float(x), f"a{k}") for k, x in enumerate(scores)], "qid int, rank int, score double, artifact_id string")
+        r = selection.conservative(hits, spark.createDataFrame([(1,)], "qid int"), **kw).first()
+        return r.reason, r.n_selected, r.min_ratio
+
+    assert chosen([1.0, 0.95, 0.9]) == ("exhausted", 3, 0.9)
+    assert chosen([1.0, 0.95, 0.9, 0.9]) == ("max_k", 3, 0.9)
+    assert chosen([1.0, 0.5, 0.4, 0.3]) == ("rel_threshold", 1, 1.0)
+    assert chosen([-1.0]) == ("single", 1, 1.0) and chosen([0.0, -1.0]) == ("nonpositive_top", 1, 1.0)
+    assert chosen([0.5], min_score=0.9) == ("abstain:below_floor", 0, None)
+
+
+def test_a_failing_chooser_falls_back(spark, rows):
+    hits = spark.createDataFrame([(q, k + 1, s, f"a{k}") for q in (1, 2, 3) for k, s in enumerate((1.0, 0.95, 0.2))], "qid bigint, rank int, score double, artifact_id string")
+
+    def chooser(qid, candidates):
+        if qid == 1:
+            raise RuntimeError("no answer")
+        return ["unknown"] if qid == 2 else ["a2", "unknown"]
+
+    assert rows(selection.by_callable(hits, chooser)) == [(1, "a0"), (1, "a1"), (2, "a0"), (2, "a1"), (3, "a2")]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
+from corpusmill.functions.text import mentions
 from corpusmill.operators import filters, surfaces
 
 
@@ -81,9 +82,9 @@ def pack(text, size, overlap):
         elif len(cur + "\n\n" + p if cur else p) <= size:
             cur = cur + "\n\n" + p if cur else p
         else:
-            carried = cur[-overlap:] + "\n\n" + p if cur and overlap else p
+            carried = (cur[-overlap:] + "\n\n" + p).strip(" \t\r\n") if cur and overlap else p
             done += [cur] * bool(cur)
-            cur = carried if len(carried) <= size else p
+            cur = carried  # what is carried on is kept whole, beyond the size too
     return done + [cur] * bool(cur)
 
 
@@ -117,3 +118,28 @@ def test_blank_surfaces_are_not_numbered(spark, rows):
     df = spark.createDataFrame([("p", "", "", ["numpy", "numpy"]), ("q", "does", "r" * 10, None)], "name string, description string, readme string, deps array<string>")
     got = rows(surfaces.Package(embed_deps=True).decompose(df, ["name"]), "name", "surface_index", "surface_kind", "text")
     assert got == [("p", 0, "deps", "Depends on: numpy"), ("q", 0, "description", "q: does"), ("q", 1, "readme_chunk", "r" * 10)]
+
+
+def test_a_paragraph_keeps_what_is_carried_on(spark):
+    df = spark.createDataFrame([("p" * 900 + "\n\n" + "q" * 1100 + "\n\n" + "r" * 300,)], "text string")
+    assert [len(c) for c in df.select(surfaces.chunks(F.col("text"))).first()[0]] == [900, 1302, 502]
+
+
+def test_balanced_windows_are_of_the_stripped_text(spark):
+    df = spark.createDataFrame([("   " + "x" * 1198 + "   ",), ("a" * 11,), (" \n ",), (None,)], "text string")
+    assert [len(w) for w in df.select(surfaces.balanced_windows(F.col("text"), 1200, 200)).first()[0]] == [1198]
+    assert [r[0] and [len(w) for w in r[0]] for r in df.select(surfaces.balanced_windows(F.col("text"), 10)).collect()][1:3] == [[6, 5], []]
+
+
+def test_mentions_want_white_space(spark):
+    cases = [("It Falls  back\nto.", True), ("falls-back to", False), ("falls, back to", False), ("it pitfalls back to", False), ("falls back total", False), (None, False)]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    assert [r[0] for r in df.select(mentions(F.col("t"), F.lit("falls back  to"))).collect()] == [y for _, y in cases]
+    assert df.select(mentions(F.lit("a c++ (x) tool"), F.lit("C++ (X)"))).first()[0] and not df.select(mentions(F.lit("a"), F.lit("  "))).first()[0]
+
+
+def test_a_synthesizer_is_part_of_the_strategy(spark):
+    plain, upper = surfaces.WithSynopsis(surfaces.WholeText()), surfaces.WithSynopsis(surfaces.WholeText(), synthesizer="pyspark.sql.functions:upper")
+    assert plain.id != upper.id and surfaces.strategy_from_spec(upper.spec()) == upper
+    df = spark.createDataFrame([("One. Two.",)], "text string")
+    assert [r.text for r in upper.decompose(df, []).collect()] == ["ONE. TWO.", "One. Two."] and plain.decompose(df, []).first().text == "One."
