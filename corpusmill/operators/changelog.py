@@ -10,7 +10,8 @@ The deliveries of ``artifacts`` are a log. Its partitions are the sources; the o
 
 After a failure the planned batch without a commit is replayed with the *same* offsets, so nothing is
 skipped and nothing new slips in. The sink writes under the batch number, overwriting a half-written
-try, and its reader keeps the latest row of each key and offset, so nothing counts twice.
+try, and its reader keeps the latest row of each key and offset, so nothing counts twice. The sink so holds
+the folded state of the log, and a run reads no delivery before its last committed offsets again.
 
 What needs processing is decided against the ledger: the row of the latest *ok* run is the only valid
 one; failed, crashed and running runs leave no trace.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from corpusmill.runtime import SharedFiles
 
 KEY = ["source", "artifact_id"]
+#: So many partitions' offsets are broadcast to the log.
+PARTITIONS = 100_000
 
 
 # --- state ---------------------------------------------------------------------------------------
@@ -107,10 +110,11 @@ class ChangeCapture:
         done = self._numbers("commit")
         return self._load(done[-1]).end if done else {}
 
-    def plan(self, log: DataFrame) -> Batch:
+    def plan(self, log: DataFrame, until: dict[str, int] | None = None) -> Batch:
         """The batch to work on now: the planned one without a commit, else a new one up to the log's end.
 
         The log's end is one number per partition (a partial aggregate; sources are few by definition).
+        ``until`` ends the new batch at these offsets where the log goes on; partitions it lacks wait.
         """
         plans, done = self._numbers("plan"), self._numbers("commit")
         if plans and plans[-1] not in done:
@@ -119,7 +123,10 @@ class ChangeCapture:
             return batch
         start = self.committed_offsets()
         ends = log.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.unix_micros(F.col("delivered_at").cast("timestamp"))).alias("e"))
-        end = start | {r["source"]: r["e"] for r in ends.collect() if r["e"] is not None}
+        end = {r["source"]: r["e"] for r in ends.collect() if r["e"] is not None}
+        if until is not None:
+            end = {s: min(e, until[s]) for s, e in end.items() if s in until}
+        end = start | {s: max(e, start.get(s, e)) for s, e in end.items()}
         batch = Batch((plans[-1] + 1) if plans else 0, start, end)
         self.files.publish(f"plan-{batch.number}.json", batch.to_json())
         return batch
@@ -135,18 +142,21 @@ class ChangeCapture:
 
     def changes(self, log: DataFrame, batch: Batch) -> DataFrame:
         """Rows of the log within the batch."""
-        return self._range(self.upto(log, batch), batch, "start", upper=False)
-
-    @staticmethod
-    def _range(log: DataFrame, batch: Batch, side: str, upper: bool) -> DataFrame:
+        rows = log
+        if batch.end and set(batch.end) <= set(batch.start):  # nothing before the least start: the scan can skip it
+            least = F.timestamp_micros(F.lit(min(batch.start.values())))
+            rows = rows.where(F.col("delivered_at").isNull() | (F.col("delivered_at") >= (least if dict(log.dtypes)["delivered_at"] == "timestamp" else least.cast("timestamp_ntz"))))
+        return self._range(self.upto(rows, batch), batch, "start", upper=False)
+
+    def _range(self, log: DataFrame, batch: Batch, side: str, upper: bool) -> DataFrame:
+        """One offset per partition meets the log as a table; it is broadcast while it has no more than PARTITIONS rows."""
         limits = getattr(batch, side)
+        bounds = self.spark.createDataFrame(list(limits.items()), "source string, __bound bigint")
         offset = F.unix_micros(F.col("delivered_at").cast("timestamp"))
-        bound = F.lit(None).cast("bigint")
-        for source, at in limits.items():
-            bound = F.when(F.col("source") == source, F.lit(at)).otherwise(bound)
+        joined = log.join(F.broadcast(bounds) if len(limits) <= PARTITIONS else bounds, "source", "left")
         # a delivery without a time is in every batch: it can't be placed, and the sink removes repeats
-        inside = (offset <= bound) if upper else (bound.isNull() | (offset > bound))
-        return log.where(offset.isNull() | inside)
+        inside = (offset <= F.col("__bound")) if upper else (F.col("__bound").isNull() | (offset > F.col("__bound")))
+        return joined.where(offset.isNull() | inside).select(*log.columns)
 
 
 class DedupSink:
@@ -158,18 +168,51 @@ class DedupSink:
     def write(self, rows: DataFrame, batch: Batch) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch.number}")
 
-    def read(self) -> DataFrame:
+    def read(self, order: tuple[str, ...] = ("offset", "batch")) -> DataFrame:
+        """Each key's greatest row by ``order``, once, however often and in whatever batches it came."""
         rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        rest = [c for c in rows.columns if c not in (*KEY, "offset", "batch")]
-        last = rows.groupBy(*KEY).agg(F.max(F.struct("offset", "batch", *rest)).alias("__b"))
-        return last.select(*KEY, "__b.offset", *(F.col(f"__b.{c}").alias(c) for c in rest))
+        rest = [c for c in rows.columns if c not in (*KEY, *order)]
+        last = rows.groupBy(*KEY).agg(F.max(F.struct(*order, *rest)).alias("__b"))
+        return last.select(*KEY, *(F.col(f"__b.{c}").alias(c) for c in rows.columns if c not in (*KEY, "batch")))
+
+
+def ok_offsets(runs: DataFrame) -> dict[str, int]:
+    """Per source, the start of its latest run that ended well, as an offset: what was delivered before, that run could see."""
+    if "started_at" not in runs.columns:
+        return {}
+    last = runs.where("status = 'ok' AND source IS NOT NULL AND started_at IS NOT NULL").groupBy("source").agg(F.max(F.unix_micros(F.col("started_at").cast("timestamp"))).alias("at"))
+    return {r["source"]: r["at"] for r in last.collect()}
+
+
+def capture_changes(capture: ChangeCapture, sink: DedupSink, log: DataFrame, stops: tuple[dict[str, int], ...] = ()) -> list[Batch]:
+    """Takes the log into the sink in batches: one up to each of ``stops``, one up to the log's end.
+
+    Each batch is planned, read between its own offsets only, folded to a row a key, written and committed. A
+    batch that an earlier process planned and did not commit comes first, with the offsets it had.
+    """
+    done = []
+    left: list[dict[str, int] | None] = [*(s for s in stops if s), None]
+    while left:
+        batch = capture.plan(log, left[0])
+        if not batch.replayed:
+            left.pop(0)
+        if batch.start != batch.end or batch.replayed or not left:
+            sink.write(current_rows(capture.changes(log, batch)).select(*KEY, "modified_at", "version", "offset"), batch)
+        else:
+            sink.write(current_rows(log.limit(0)).select(*KEY, "modified_at", "version", "offset"), batch)
+        capture.commit(batch)
+        done.append(batch)
+    return done
 
 
 def next_run(capture: ChangeCapture, artifacts: DataFrame, ledger: DataFrame, runs: DataFrame, corpora: DataFrame) -> tuple[Batch, DataFrame]:
-    """Plan (or replay) the next batch and give what it must process.
+    """Takes in what was delivered since the last call and gives what the next run must process.
 
-    The current row of an artifact can be older than the batch (its embedder changed, an earlier run
-    failed), so the fold covers the log up to the batch's end and the ledger decides.
+    The sink holds the current version of every artifact, by key and offset. A fresh one is filled up to what
+    the latest good runs could see first; from then on a call reads the deliveries after its last committed
+    offsets and no others. What the ledger does not hold as of a good run (its content is new, its embedder or
+    strategy has changed, its run failed) is pending.
     """
-    batch = capture.plan(artifacts)
-    return batch, pending(current_rows(capture.upto(artifacts, batch)), ledger, runs, corpora)
+    sink = DedupSink(capture.spark, capture.root)
+    batches = capture_changes(capture, sink, artifacts, () if capture.committed_offsets() else (ok_offsets(runs),))
+    return batches[-1], pending(sink.read(order=("modified_at", "version")), ledger, runs, corpora)

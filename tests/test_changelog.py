@@ -78,3 +78,33 @@ def test_two_planners_cannot_publish_one_batch(spark):
     files.publish("plan-0.json", "{}")
     with pytest.raises(OSError):
         files.publish("plan-0.json", "{}")
+
+
+def test_a_second_call_reads_only_what_was_delivered_since(spark):
+    """Two committed runs and a crashed one over one table: each reads its own deliveries, the sink has each key once."""
+    root = scratch_path(spark, "wal")
+    rows = [("s", "a", "x", 1, 1), ("s", "b", "x", 1, 2), ("t", "c", "x", 1, 2), ("s", "timeless", "x", 1, None)]
+    log, ledger, runs, corpora = frames(spark, rows, [("s", "a", "x", "e1", "g1", 1)], RUNS_OK)
+    capture = changelog.ChangeCapture(spark, root)
+    first, df = changelog.next_run(capture, log, ledger, runs, corpora)
+    assert first.start == {} and {r.artifact_id for r in df.collect()} == {"b", "c", "timeless"}
+    # old content delivered late, a change, a new source; the process dies after planning
+    more = log.union(frames(spark, [("s", "a", "old", 0, 5), ("s", "b", "y", 6, 6), ("u", "d", "x", 1, 1)], [], [])[0])
+    planned = changelog.ChangeCapture(spark, root).plan(more)
+    last = more.union(frames(spark, [("s", "e", "x", 7, 7)], [], [])[0])
+    after, df = changelog.next_run(changelog.ChangeCapture(spark, root), last, ledger, runs, corpora)
+    assert {r.artifact_id for r in df.collect()} == {"b", "c", "d", "e", "timeless"} and after.start == planned.end
+    read = {n: {r.artifact_id for r in spark.read.parquet(f"{root}/sink/batch={n}").collect()} for n in range(3)}
+    assert read == {0: {"a", "b", "c", "timeless"}, 1: {"a", "b", "d", "timeless"}, 2: {"e", "timeless"}}
+    versions = {r.artifact_id: r.version for r in changelog.DedupSink(spark, root).read(("modified_at", "version")).collect()}
+    assert versions["a"] == sha256(b"x").hexdigest() and versions["b"] == sha256(b"y").hexdigest() and len(versions) == 6
+
+
+def test_a_fresh_state_is_filled_up_to_the_good_runs_first(spark):
+    log, ledger, _, corpora = frames(spark, [("s", "a", "x", 1, 1), ("s", "b", "x", 4, 4), ("t", "c", "x", 1, 1)], [("s", "a", "x", "e1", "g1", 1)], [])
+    runs = spark.createDataFrame([(1, "s", "ok", at(2)), (2, "s", "failed", at(3))], RUNS + ", started_at timestamp")
+    root = scratch_path(spark, "wal")
+    _, df = changelog.next_run(changelog.ChangeCapture(spark, root), log, ledger, runs, corpora)
+    assert {r.artifact_id for r in df.collect()} == {"b", "c"}
+    assert {r.artifact_id for r in spark.read.parquet(f"{root}/sink/batch=0").collect()} == {"a"}
+    assert {r.artifact_id for r in spark.read.parquet(f"{root}/sink/batch=1").collect()} == {"b", "c"}
