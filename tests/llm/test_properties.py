@@ -43,8 +43,10 @@ def test_cleaning_never_fails(text):
 @settings(max_examples=200, deadline=None)
 @given(any_text)
 def test_folding_never_fails(text):
-    found, plain = abuse.candidates(text)
-    assert all(isinstance(abuse.votes(s), int) for s in found) and isinstance(plain, str)
+    for codes, tokens in abuse.sentences(text):
+        assert tokens and 0 <= abuse.votes(codes) < 1 << len(abuse.VOTERS) and all(abuse.meant(tokens))
+    assert abuse.fold(text) == abuse.fold(abuse.fold(text)) or not text.isascii()
+
 
 
 @settings(max_examples=100, deadline=None)

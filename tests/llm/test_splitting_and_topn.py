@@ -107,3 +107,31 @@ def test_top_n_empty_clash_and_columns(spark):
         topn.top_n(df.withColumnRenamed("extra", "Rank"), ["g"], "score", "id", 3)
     renamed = df.withColumnRenamed("extra", "__score")
     assert topn.top_n(renamed, ["g"], "score", "id", 3, rank="place").first().asDict()["__score"] == "kept"
+
+
+# --- ranges --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [1200, 1777, 4096])
+def test_tables_hand_the_place_on(size):
+    """Stitched tables give the pieces of the text cut as one, from every place a piece can begin first."""
+    for t in TEXTS:
+        t = t.strip(splitting.OUTER)
+        place, number, got = 0, 0, []
+        for at, r in splitting.ranges_of(t, 1200, 200, size):
+            exits, counts = r.table()
+            for first in (0, 1, 57, 600, 1199):
+                spans, following = r.spans(first)
+                assert (exits[first], counts[first]) == (-1 if following is None else following, len(spans))
+            if place >= 0:
+                got += [(at + a, at + b) for a, b in r.spans(place)[0]]
+                number, place = number + counts[place], exits[place]
+        assert got == splitting.spans_of(t) and number == len(got) and place == -1
+
+
+def test_rows_that_are_spread_give_the_same_pieces(spark):
+    df = spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(TEXTS)] + [(None, TEXTS[0])], "id string, text string")
+    near = splitting.split_texts(df, ["id"])
+    spread = splitting.split_texts(df, ["id"], spread_chars=1300)
+    got = [sorted((str(r.id), r.piece_no, r.start, r.end, r.piece) for r in d.collect()) for d in (near, spread)]
+    assert got[0] == got[1] and len(got[0]) > 30
