@@ -4,8 +4,9 @@ Method: site template removal. Element subtrees are hashed bottom up (tag, text
 Spark counts on how many pages of a host each hash occurs. Subtrees on at least ``MIN_PAGES`` pages and a
 share of ``SHARE`` of the host's pages are its template (menus, banners, footers) and are deleted; the
 rest is converted. A host's template is bounded: with s subtrees a page on average it has at most
-s / SHARE hashes. The number of hosts is checked before the templates are broadcast; beyond the check
-they meet their pages by a skew-safe join.
+s / SHARE hashes. The hashes of all hosts are counted before the templates are broadcast; beyond the bound
+they meet their pages by a skew-safe join. A text counts as marked up if template was deleted from it or the
+conversion of the rest finds a construct. Parsing takes time in proportion to the text, whatever is unclosed.
 
 Clean text keeps headings as ``# ...``, items as ``- ...`` or ``1. ...``, code blocks between fences,
 tables as rows with `` | ``, formulas in dollars; everything else becomes plain text.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -66,7 +68,7 @@ CONSTRUCTS: dict[str, tuple[tuple[str, ...], str]] = {
     "wiki_list": (("** ", "*# ", "#* "), r"(?m)^(?:[*#]+\*|\*[*#]+) \S"),
     "tex_command": (("\\",), r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{"),
     "tex_item": (("\\item",), r"(?m)^[ \t]*\\item\s"),
-    "tex_math": (("$", "\\[", "\\("), r"\$[^$\n]*[\\^_][^$\n]*\$|\\\[[^\n]*\\\]|\\\([^\n]*\\\)"),
+    "tex_math": (("$", "\\[", "\\("), r"\$[^$\n]*[\\^_][^$\n]*\$|\\\[(?:[^\n\\]|\\{1,2}[^\[\]\\\n])*\\\]|\\\((?:[^\n\\]|\\{1,2}[^()\\\n])*\\\)"),
 }
 _COMPILED = {k: (guards, re.compile(p)) for k, (guards, p) in CONSTRUCTS.items()}
 
@@ -87,23 +89,35 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)/?>")
 _KNOWN = frozenset(ELEMENTS)
 
 
+#: Opening one of these ends an open element of the right, as HTML implies (fixed values).
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}} | {
+    t: {"p"} for t in ("p", "div", "ul", "ol", "dl", "table", "pre", "blockquote", "section", "article", "header", "footer", "nav", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "form")
+}
+
+
 def subtrees(text: str) -> list[tuple[int, int, int]]:
     """``(hash, start, end)`` of every closed element with enough text, inner ones first.
 
-    Unclosed elements end where an outer one closes; closing tags without an opening are passed over.
+    Unclosed elements end where HTML implies it or an outer one closes; closing tags without an opening are
+    passed over. Every tag is opened and popped once.
     """
     out: list[tuple[int, int, int]] = []
     stack: list[list] = []  # [tag, start, parts, length of text]
+    opened: dict[str, int] = {}
     at = 0
 
-    def fold(top: list, end: int) -> None:
-        body = " ".join("\x1f".join(top[2]).split())
-        digest = int.from_bytes(blake2b(f"{top[0]}\x1e{body}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-        if top[3] >= MIN_TEXT:
-            out.append((digest, top[1], end))
-        if stack:
-            stack[-1][2].append(f"\x1d{digest}\x1d")
-            stack[-1][3] += top[3]
+    def fold(end: int) -> str:
+        top = stack.pop()
+        opened[top[0]] -= 1
+        if top[3] >= MIN_TEXT or stack:
+            body = " ".join("\x1f".join(top[2]).split())
+            digest = int.from_bytes(blake2b(f"{top[0]}\x1e{body}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            if top[3] >= MIN_TEXT:
+                out.append((digest, top[1], end))
+            if stack:
+                stack[-1][2].append(f"\x1d{digest}\x1d")
+                stack[-1][3] += top[3]
+        return top[0]
 
     for m in _TAG.finditer(text):
         tag = m.group(2).lower()
@@ -115,14 +129,16 @@ def subtrees(text: str) -> list[tuple[int, int, int]]:
             stack[-1][3] += len(piece.strip())
         at = m.end()
         if not m.group(1):
+            ends = _ENDS.get(tag, ())
+            while stack and stack[-1][0] in ends:
+                fold(m.start())
             if tag not in VOID:
                 stack.append([tag, m.start(), [], 0])
-        elif any(s[0] == tag for s in stack):
-            while stack:
-                top = stack.pop()
-                fold(top, m.end() if top[0] == tag else m.start())
-                if top[0] == tag:
-                    break
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            while stack[-1][0] != tag:
+                fold(m.start())
+            fold(m.end())
     return out
 
 
@@ -166,18 +182,23 @@ def templates(pages: DataFrame, host: str, text: str) -> DataFrame:
 # --- conversion ----------------------------------------------------------------------------------
 
 _MARK = "\ue000"
-_CODE = re.compile(
-    r"^ {0,3}(?P<f>```+|~~~+)[^\n]*\n(?P<body>.*?)\n? {0,3}(?P=f)[ \t]*$|<pre\b[^>]*>(?P<pre>.*?)</pre>|\\begin\{(?:verbatim|lstlisting)\}(?P<verb>.*?)\\end\{(?:verbatim|lstlisting)\}"
-    r"|<(?:nowiki|syntaxhighlight)\b[^>]*>(?P<wiki>.*?)</(?:nowiki|syntaxhighlight)>",
-    re.S | re.M | re.I,
-)
-_FORMULA = re.compile(
-    r"\\begin\{(?:equation|align|gather|displaymath|math)\*?\}(?P<env>.*?)\\end\{(?:equation|align|gather|displaymath|math)\*?\}"
-    r"|\\\[(?P<display>.*?)\\\]|\\\((?P<paren>.*?)\\\)|\$\$(?P<dd>[^$]+)\$\$|\$(?P<inline>[^$\n]*[\\^_][^$\n]*)\$|<math\b[^>]*>(?P<tag>.*?)</math>",
-    re.S | re.I,
-)
+_FENCE = re.compile(r" {0,3}(```+|~~~+)(.*)")
+#: Blocks up to their closing mark: (name, mark that closes, pattern). A text is searched up to the last closing mark only, so every try ends.
+_BLOCKS = [
+    ("pre", "</pre>", re.compile(r"<pre\b[^<>]*>(.*?)</pre>", re.S | re.I)),
+    *(("code", f"\\end{{{e}}}", re.compile(rf"\\begin\{{{e}\}}(.*?)\\end\{{{e}\}}", re.S | re.I)) for e in ("verbatim", "lstlisting")),
+    *(("code", f"</{e}>", re.compile(rf"<{e}\b[^<>]*>(.*?)</{e}>", re.S | re.I)) for e in ("nowiki", "syntaxhighlight")),
+]
+_FORMULAS = [
+    *((f"\\end{{{e}}}", re.compile(rf"\\begin\{{{re.escape(e)}\}}(.*?)\\end\{{{re.escape(e)}\}}", re.S | re.I)) for n in ("equation", "align", "gather", "displaymath", "math") for e in (n, n + "*")),
+    ("\\]", re.compile(r"\\\[(.*?)\\\]", re.S)), ("\\)", re.compile(r"\\\((.*?)\\\)", re.S)), ("$$", re.compile(r"\$\$([^$]+)\$\$")),
+    ("$", re.compile(r"\$([^$\n]*[\\^_][^$\n]*)\$")), ("</math>", re.compile(r"<math\b[^<>]*>(.*?)</math>", re.S | re.I)),
+]
 _INLINE = re.compile(r"`([^`\n]+)`")
-_DROPPED = re.compile(r"<!--.*?-->|<!doctype[^>]*>|<(script|style|head|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_DROPPED = [
+    ("-->", re.compile(r"<!--.*?-->", re.S)), (">", re.compile(r"<!doctype[^<>]*>", re.I)),
+    *((f"</{t}", re.compile(rf"<{t}\b[^<>]*>.*?</{t}\s*>", re.S | re.I)) for t in ("script", "style", "head", "noscript", "template")),
+]
 _STEPS: list[tuple[tuple[str, ...], re.Pattern, object]] = [
     # wiki
     (("{|",), re.compile(r"^\{\|[^\n]*\n?|^\|\}[^\n]*\n?|^\|-[^\n]*\n?", re.M), ""),
@@ -207,7 +228,7 @@ _STEPS: list[tuple[tuple[str, ...], re.Pattern, object]] = [
     (("~~",), re.compile(r"~~([^\s~][^~\n]*)~~"), r"\1"),
 ]
 _BREAK = re.compile(r"<(?:br|/p|p|/div|div|/tr|/table|table|/ul|ul|/ol|ol|/dl|section|/section|article|/article|blockquote|/blockquote|hr)\b[^<>]*>", re.I)
-_HEAD = re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.S | re.I)
+_HEADS = {n: re.compile(rf"<h{n}\b[^<>]*>(.*?)</h{n}\s*>", re.S | re.I) for n in "123456"}
 _ITEM = re.compile(r"<(?:li|dt|dd)\b[^<>]*>", re.I)
 _CELL = re.compile(r"(?<!^)<t[dh]\b[^<>]*>", re.I | re.M)
 _ROW = re.compile(r"(<tr\b[^<>]*>)\s*<t[dh]\b[^<>]*>", re.I)
@@ -215,12 +236,58 @@ _ANY = re.compile(r"</?(?:" + "|".join(ELEMENTS) + r")(?:\s[^<>]*)?/?>", re.I)
 _SPACE = re.compile(r"[ \t]+\n"), re.compile(r"\n{3,}")
 
 
+def _closed(text: str, mark: str, pattern: re.Pattern, to) -> str:
+    """The pattern's matches replaced, tried only where a closing mark is still to come."""
+    low = text.lower() if mark.lower() != mark.upper() else text
+    last = low.rfind(mark.lower()) if len(low) == len(text) else text.rfind(mark)  # lower case may change the length
+    if last < 0:
+        return text
+    last = max(last + len(mark), text.find(">", last) + 1 if mark.startswith("</") else 0)
+    return pattern.sub(to, text[:last]) + text[last:]
+
+
+def _fenced(text: str, code) -> str:
+    """Fenced code taken out line by line; a fence without an end is none."""
+    lines, out = text.split("\n"), []
+    ends: dict[str, list[int]] = {}
+    for n, line in enumerate(lines):
+        m = _FENCE.fullmatch(line)
+        if m and not m.group(2).strip():
+            ends.setdefault(m.group(1), []).append(n)
+    n = 0
+    while n < len(lines):
+        m = _FENCE.fullmatch(lines[n])
+        close = None
+        if m:
+            own = ends.get(m.group(1), [])
+            k = bisect_right(own, n)
+            close = own[k] if k < len(own) else None
+        if close is None:
+            out.append(lines[n])
+            n += 1
+        else:
+            out.append(code("\n".join(lines[n + 1 : close])))
+            n = close + 1
+    return "\n".join(out)
+
+
+def converted_page(text: str | None, template: set[int] | None = None) -> tuple[list[str], str | None]:
+    """``(kinds, clean text)``: what was found in a text, ``site_template`` first if any was deleted, and the text without it."""
+    kinds: list[str] = []
+    if text and template and "</" in text:
+        rest = without(text, template)
+        if rest != text:
+            kinds, text = ["site_template"], rest
+    found = constructs(text)
+    return kinds + found, _clean(text) if found else text.strip() if kinds else text
+
+
 def clean(text: str | None, template: set[int] | None = None) -> str | None:
     """The text without markup. ``template``: hashes of subtrees to delete first."""
-    if not text or not constructs(text):
-        return text
-    if template and "</" in text:
-        text = without(text, template)
+    return converted_page(text, template)[1]
+
+
+def _clean(text: str) -> str:
     text = text.replace("\r\n", "\n").replace(_MARK, "")
     kept: list[str] = []
 
@@ -228,29 +295,31 @@ def clean(text: str | None, template: set[int] | None = None) -> str | None:
         kept.append(content)
         return f"{_MARK}{len(kept) - 1}{_MARK}"
 
-    def code(m: re.Match) -> str:
-        body = next(g for g in (m.group("body"), m.group("pre"), m.group("verb"), m.group("wiki"), "") if g is not None)
-        if m.group("pre") is not None:
-            body = html.unescape(_ANY.sub("", body))
+    def code(body: str) -> str:
         return keep("\n```\n" + body.strip("\n") + "\n```\n")
 
     def formula(m: re.Match) -> str:
-        body = next((g for g in m.groups() if g is not None), "")
-        return keep("$" + " ".join(body.split()) + "$")
+        return keep("$" + " ".join(m.group(1).split()) + "$")
 
-    if "```" in text or "~~~" in text or "<" in text or "\\begin" in text:
-        text = _CODE.sub(code, text)
+    if "```" in text or "~~~" in text:
+        text = _fenced(text, code)
+    if "</" in text or "\\end{" in text:
+        for name, mark, pattern in _BLOCKS:
+            text = _closed(text, mark, pattern, (lambda m: code(html.unescape(_ANY.sub("", m.group(1))))) if name == "pre" else lambda m: code(m.group(1)))
     if "`" in text:
         text = _INLINE.sub(lambda m: keep(m.group(1)), text)
-    if "$" in text or "\\" in text or "<math" in text:
-        text = _FORMULA.sub(formula, text)
+    if "$" in text or "\\" in text or "</math" in text:
+        for mark, pattern in _FORMULAS:
+            text = _closed(text, mark, pattern, formula)
     if "&lt;" in text:
         text = _ESCAPED.sub(r"<\1>", text)
     if "\n# " in text:
         text = _numbered(text)
     if "<" in text:
-        text = _DROPPED.sub("", text)
-        text = _HEAD.sub(lambda m: "\n" + "#" * int(m.group(1)) + " " + " ".join(_ANY.sub("", m.group(2)).split()) + "\n", text)
+        for mark, pattern in _DROPPED:
+            text = _closed(text, mark, pattern, "")
+        for n in "123456":
+            text = _closed(text, f"</h{n}", _HEADS[n], lambda m, n=n: "\n" + "#" * int(n) + " " + " ".join(_ANY.sub("", m.group(1)).split()) + "\n")
         text = _CELL.sub(" | ", _ROW.sub(r"\1", text))
         text = _ANY.sub("", _ITEM.sub("\n- ", _BREAK.sub("\n", text)))
     for guards, pattern, to in _STEPS:
@@ -288,25 +357,25 @@ def _unescape(text: str) -> str:
     return text.replace("\xa0", " ")
 
 
-#: So many hosts' templates, each bounded, are broadcast; more meet their pages by a join.
-HOSTS_BROADCAST = 10_000
+#: So many hashes of all hosts' templates are broadcast (8 bytes each); more meet their pages by a join.
+HASHES_BROADCAST = 1_000_000
 
 
-def converted(pages: DataFrame, keys: list[str], host: str, text: str) -> DataFrame:
-    """``(keys, kinds, clean)``: the constructs found in each text and its clean form, template removed."""
+def converted(pages: DataFrame, keys: list[str], host: str, text: str, hashes_broadcast: int = HASHES_BROADCAST) -> DataFrame:
+    """``(keys, kinds, clean)``: what was found in each text and its clean form, template removed."""
     found = cut(templates(pages, host, text))
-    hosts = found.count()
-    if hosts == 0:
+    size = found.agg(F.sum(F.size("hashes")).alias("n")).first()["n"] or 0
+    if size == 0:
         paired = pages.withColumn("__hashes", F.lit(None).cast("array<bigint>"))
     else:
         named = found.select(F.col("host").alias(host), F.col("hashes").alias("__hashes"))
-        paired = pages.join(F.broadcast(named), host, "left") if hosts <= HOSTS_BROADCAST else unique_lookup(pages, named, [host], "left")
+        paired = pages.join(F.broadcast(named), host, "left") if size <= hashes_broadcast else unique_lookup(pages, named, [host], "left")
 
     def run(batches):
         for batch in batches:
             texts, hashes = (batch.column(len(keys) + k).to_pylist() for k in range(2))
-            kinds = pa.array([constructs(t) for t in texts], pa.list_(pa.string()))
-            out = pa.array([clean(t, set(h) if h else None) for t, h in zip(texts, hashes)], pa.string())
+            made = [converted_page(t, set(h) if h else None) for t, h in zip(texts, hashes)]
+            kinds, out = pa.array([k for k, _ in made], pa.list_(pa.string())), pa.array([c for _, c in made], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), kinds, out], [*keys, "kinds", "clean"])
 
     schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType())])

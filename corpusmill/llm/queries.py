@@ -94,6 +94,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_clean(spark, sf_dir).where("kinds <> ''").select("item", "source", "item_id")
 
 
+def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a menu of their site around the documents' ids: the menu goes, what is a page's own stays."""
+    menu = F.concat(F.lit("<div><ul><li>Start page of "), F.col("source"), F.lit("<li>All pages of this site</ul></div>"))
+    pages = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", "doc_id", F.concat(menu, F.lit("<h2>Page "), F.col("doc_id"), F.lit("</h2>")).alias("text"))
+    rows = markup.converted(pages, ["source", "doc_id"], "source", "text")
+    return rows.select("source", "doc_id", F.array_contains("kinds", "site_template").alias("had_menu"), "clean")
+
+
 # --- 8: token ids --------------------------------------------------------------------------------
 
 
@@ -135,7 +143,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(flagged, 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p5_clean, p5_found, p8_ids, p8_spans, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p2_top_terms, p3_found, p3_ranked, p4_found, p4_neighbours, p5_clean, p5_found, p5_templates, p8_ids, p8_spans, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
 
 _TERMS = r"""
 WITH unique_records AS (SELECT record_id, any_value(text) AS text FROM records WHERE record_id IS NOT NULL GROUP BY record_id),
@@ -166,6 +174,10 @@ WITH current_rows AS (SELECT 'artifact' AS item, source, artifact_id AS item_id,
                       QUALIFY row_number() OVER (PARTITION BY source, artifact_id ORDER BY modified_at DESC NULLS LAST, raw DESC NULLS LAST) = 1),
 pages AS (SELECT * FROM current_rows UNION SELECT 'surface', source, surface_id::VARCHAR, text FROM surfaces)
 SELECT DISTINCT item, source, item_id FROM pages WHERE {_MARKED}""",
+    "p5_templates": """
+SELECT source, doc_id, count(*) OVER (PARTITION BY source) >= 10 AS had_menu,
+       CASE WHEN count(*) OVER (PARTITION BY source) >= 10 THEN '' ELSE '- Start page of ' || source || E'\n- All pages of this site\n\n' END || '## Page ' || doc_id AS clean
+FROM documents WHERE source IS NOT NULL""",
     "p4_found": """
 WITH good AS (SELECT record_id, any_value(vector)::DOUBLE[] AS v FROM records
               WHERE len(vector) = 64 AND NOT list_bool_or(list_transform(vector, lambda x: x IS NULL OR isnan(x)))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +60,33 @@ def test_site_templates_are_removed(spark):
     assert markup.converted(df.limit(0), ["source", "id"], "source", "text").count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<pre>", "<!-- ", "<p>text ", "<li>item", "</div>", "<h2>", "\\[ ", "\\\\[ ", "<script>", "````\n", "<b><i>", "\\begin{verbatim}"])
+def test_time_is_in_proportion_to_the_text(unit):
+    """Ten times the text that is never closed takes about ten times as long."""
+    text = unit * (400_000 // len(unit))
+
+    def took(t):
+        begin = time.process_time()
+        markup.subtrees(t)
+        markup.clean(t)
+        return time.process_time() - begin
+
+    assert took(text) < 30 * max(0.1, took(text[: len(text) // 10]))
+
+
+def test_implied_ends():
+    text = "<ul><li>the first item of this list<li>the second item of this list</ul><p>a paragraph with enough text<p>another one with enough text<div>x</div>"
+    spans = {text[a:b] for _, a, b in markup.subtrees(text)}
+    assert "<li>the first item of this list" in spans and "<p>a paragraph with enough text" in spans and "<p>another one with enough text" in spans
+
+
+def test_templates_beyond_the_broadcast(spark):
+    pages = [("site", f"p{k}", f"<div><p>the same banner on every page</p></div><p>own {k}</p>") for k in range(20)] + [(None, "n", "<p>x</p>")]
+    df = spark.createDataFrame(pages, "source string, id string, text string")
+    got = [sorted((str(r.source), r.id, r.kinds, r.clean) for r in markup.converted(df, ["source", "id"], "source", "text", bound).collect()) for bound in (100, 0)]
+    assert got[0] == got[1] and ("site", "p7", ["site_template", "html_tag"], "own 7") in got[0]
+
+
 # --- abusive content -----------------------------------------------------------------------------
 
 BAD = [
