@@ -4,7 +4,9 @@ Method. Each of ``CURVES`` orderings projects the vectors on a few random orthog
 and scaled by the moments of all vectors), shifts the grid and walks it along a Hilbert curve. Spark
 range-partitions all rows by (ordering, key); within a partition a window slides along the order and
 every row meets its neighbours. The windows of all orderings are merged, and what they propose is
-reranked by the exact cosine. A pair is missed only if every curve tears it apart.
+reranked by the exact cosine. A pair is missed only if every curve tears it apart. Without a floor, where far
+neighbours count too, the merge goes on: what stands in one row's list of candidates is likely to be near each
+other, so the members of each (bounded) list are compared, ``REFINE`` times over.
 
 Plan. Redelivered rows collapse to the latest, exact copies to one representative (so a group of copies
 with a third of all rows is one row from there on). The one wide shuffle moves, per ordering, a key, an
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.topn import top_n
 from corpusmill.operators.skew import unique_lookup
+from corpusmill.runtime import written
 
 CURVES, AXES, BITS = 8, 12, 4
 #: Rows of a block of the sorted order, and rows before it that it also meets.
@@ -36,7 +39,9 @@ GRACE = 0.02
 #: merge; and by a window without a floor, where every row of every window proposes.
 SPARE, SPARE_OPEN = 8, 3
 #: Without a floor also far neighbours count, which a curve keeps together less often: more of them, wider windows.
-CURVES_OPEN, HALO_OPEN = 16, 768
+CURVES_OPEN, HALO_OPEN = 16, 2048
+#: How often the members of the candidate lists are compared with each other, without a floor.
+REFINE = 2
 SEED = 20_240_229
 
 
@@ -235,6 +240,52 @@ def _windows_open(ordered: DataFrame, dim: int, most: int, halo: int, shift: int
     return ordered.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("approx", T.FloatType())]))
 
 
+def _codes_of(rows: DataFrame, dim: int) -> DataFrame:
+    """``(id, code)``: one byte a component."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                unit = _matrix(batch.column(1), dim)
+                codes = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
+
+    return rows.select("id", "vector").mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("code", T.BinaryType())]))
+
+
+def _refined(lists: DataFrame, codes: DataFrame, most: int, dim: int) -> DataFrame:
+    """``(a, b, approx)`` with a < b: pairs that stand in one list of ``lists`` (``most`` rows a row at most) and belong into a member's list.
+
+    A member comes with the last value in its own list, so that only pairs that better it leave the task.
+    """
+    id_type = lists.schema["a"].dataType
+    own = lists.groupBy(F.col("a").alias("id")).agg(F.min("approx").alias("least"), F.count(F.lit(1)).alias("n"))
+    known = codes.join(own, "id").select(F.col("id").alias("b"), "code", F.when(F.col("n") >= most, F.col("least")).otherwise(F.lit(-2.0).cast("float")).alias("least"))
+    members = lists.select("a", "b").join(known, "b").groupBy("a").agg(F.collect_list(F.struct("b", "code", "least")).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            m = batch.column(1)
+            flat, ends = m.flatten(), m.offsets.to_numpy() - m.offsets[0].as_py()
+            if not len(flat):
+                continue
+            ids, least = flat.field(0), flat.field(2).to_numpy(zero_copy_only=False)
+            c = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+            c /= np.linalg.norm(c, axis=1, keepdims=True)
+            x, y, v = [], [], []
+            for lo, hi in zip(ends, ends[1:]):
+                s = c[lo:hi] @ c[lo:hi].T
+                i, j = np.nonzero(np.triu(s > np.minimum.outer(least[lo:hi], least[lo:hi]), 1))
+                x.append(i + lo)
+                y.append(j + lo)
+                v.append(s[i, j])
+            left, right = ids.take(pa.array(np.concatenate(x))), ids.take(pa.array(np.concatenate(y)))
+            yield pa.RecordBatch.from_arrays([left, right, pa.array(np.concatenate(v).astype(np.float32))], ["a", "b", "approx"])
+
+    found = members.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("approx", T.FloatType())]))
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "approx")
+
+
 def _best_of(s: np.ndarray, most: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Entries of at least ``floor`` that are among the ``most`` greatest of their row or of their column."""
     x, y = np.nonzero(s >= floor)
@@ -267,6 +318,7 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 def nearest(
     df: DataFrame, k: int = 5, dim: int = 64, key: str = "record_id", vector: str = "vector", order_by: str | None = "ingested_at",
     min_cosine: float | None = None, curves: int | None = None, axes: int = AXES, bits: int = BITS, seed: int = SEED,
+    refine: int = REFINE,
 ) -> DataFrame:
     """``(key, rank, neighbour, cosine)``: the ``k`` most similar other rows of each row.
 
@@ -291,8 +343,11 @@ def nearest(
     ordered = _coded(single, Curves(mean, covariance, curves, axes, bits, seed), dim).repartitionByRange("place").sortWithinPartitions("place")
     if min_cosine is None:
         proposed = _windows_open(ordered, dim, k + SPARE_OPEN, HALO_OPEN, axes * bits).groupBy("a", "b").agg(F.max("approx").alias("approx"))
-        both = proposed.unionByName(proposed.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx"))
-        short = top_n(both, ["a"], "approx", "b", k + SPARE)  # the merge, by the codes' cosine, before vectors move
+        codes = _codes_of(single, dim)
+        short = _lists(proposed, k + SPARE)  # the merge, by the codes' cosine, before vectors move
+        for _ in range(refine):
+            more = _refined(short, codes, k + SPARE, dim).unionByName(short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "approx"))
+            short = _lists(more.groupBy("a", "b").agg(F.max("approx").alias("approx")), k + SPARE)
         pairs = short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     else:
         pairs = _windows(ordered, dim, k + SPARE, min_cosine - GRACE, axes * bits).select("a", "b").distinct()
@@ -303,6 +358,12 @@ def nearest(
     return _with_copies(top_n(directed, ["a"], "cosine", "b", k), hashed, classes, key, k)
 
 
+def _lists(pairs: DataFrame, most: int) -> DataFrame:
+    """``(a, b, approx)``, both ways: the ``most`` best of each row, written once."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx"))
+    return written(top_n(both, ["a"], "approx", "b", most).select("a", "b", "approx"), "lists")
+
+
 def _with_copies(ranked: DataFrame, hashed: DataFrame, classes: DataFrame, key: str, k: int) -> DataFrame:
     """From representatives to all rows. A class keeps the first k + 1 rows of its list: without the asking
     row itself, the first k of them are that row's neighbours. The lists are bounded, the classes are not

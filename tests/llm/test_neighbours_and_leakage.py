@@ -103,3 +103,15 @@ def test_any_single_replacement_in_a_window_still_hits():
         doc = [*W[:k], "other", *W[k + 1 : 13]]
         h = np.fromiter((leakage._hashes[w] for w in doc), np.uint64, 13)
         assert (0, 0) in index.hits(h)
+
+
+def test_lists_are_refined(spark):
+    """Two rows that stand in a third one's list become candidates of each other, if they better their own lists."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(8)
+    vectors = {k: base + 0.05 * rng.standard_normal(8) for k in "abc"} | {"z": -base}
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "id string, vector array<float>")
+    lists = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.9), ("a", "z", -0.9), ("b", "z", -0.9), ("c", "z", -0.9)], "a string, b string, approx float")
+    got = neighbours._refined(lists, neighbours._codes_of(rows, 8), 1, 8).collect()
+    assert {(r.a, r.b) for r in got} == {("b", "c")} and got[0].approx > 0.9
+    assert neighbours._refined(lists.limit(0), neighbours._codes_of(rows, 8), 1, 8).count() == 0
