@@ -17,6 +17,7 @@ Defined results:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,28 +50,30 @@ def double_pointers(parents: DataFrame, max_rounds: int | None = None) -> DataFr
     )
     state = cut(state)
     nodes = state.count()
+    done, unfinished = [state.where("closed")], state.where(~F.col("closed"))
     rounds = max_rounds or int(math.ceil(math.log2(nodes + 2))) + 2
     for _ in range(rounds):
-        still_open = state.where(~F.col("closed"))
-        n_open = still_open.count()
+        n_open = unfinished.count()
         if not n_open:
             break
-        step = state.select(
+        step = reduce(DataFrame.unionByName, done, unfinished).select(
             "source", F.col("artifact_id").alias("jump"), F.col("path").alias("__next"), F.col("jump").alias("__jump"),
             F.col("cyclic").alias("__cyclic"), F.col("closed").alias("__closed"),
         )
-        joined = unique_lookup(still_open, step, ["source", "jump"], "left", total=n_open)
+        joined = unique_lookup(unfinished, step, ["source", "jump"], "left", total=n_open)
         longer = F.when(F.col("__next").isNull(), F.col("path")).otherwise(F.concat("path", "__next"))
         grown = joined.select("source", "artifact_id", longer.alias("__path"), "jump", "__jump", "__next", "__cyclic", "__closed")
         grown = grown.withColumn("__distinct", F.array_distinct("__path"))
         repeats = (F.size("__distinct") < F.size("__path")) | F.array_contains("__path", F.col("artifact_id"))
         ring = F.coalesce(F.col("__cyclic"), F.lit(False)) | repeats
-        done = F.col("__next").isNull() | F.coalesce(F.col("__closed"), F.lit(False)) | ring
+        finished = F.col("__next").isNull() | F.coalesce(F.col("__closed"), F.lit(False)) | ring
         moved = grown.select(
             "source", "artifact_id", F.col("__distinct").alias("path"), F.coalesce("__jump", "jump").alias("jump"),
-            ring.alias("cyclic"), done.alias("closed"),
+            ring.alias("cyclic"), finished.alias("closed"),
         )
-        state = cut(state.where(F.col("closed")).unionByName(moved))
+        moved = cut(moved)  # rows that are closed stay where they were written: each is written once
+        done, unfinished = [*done, moved.where("closed")], moved.where(~F.col("closed"))
+    state = reduce(DataFrame.unionByName, done, unfinished)
     return state.select("source", "artifact_id", "path", (F.col("cyclic") | ~F.col("closed")).alias("cyclic"))
 
 
