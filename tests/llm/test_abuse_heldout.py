@@ -1,4 +1,4 @@
-"""The classifier of abusive content on sentences that neither lexicons nor voters were chosen by."""
+"""The classifier of abusive content on sentences that are in no table (seen while voters were adjusted)."""
 
 import os
 
