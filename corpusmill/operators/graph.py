@@ -101,6 +101,22 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, node_budget
     return visited
 
 
+#: So many reached nodes and so many queries of a walk are paired at a time, and about so many pairs are the share of a task.
+NODE_BLOCK, QUERY_BLOCK, TASK_PAIRS = 512, 2048, 2_000_000
+
+
+def shared_walks(seeds: DataFrame, node_budget: int = 64) -> DataFrame:
+    """``(qid, walk)``: ``walk`` is the least query whose seeds are the same and stand in the same order by score.
+
+    Scores only order the nodes of a walk on edges without scores, so such queries reach the same nodes at the same depths.
+    """
+    best = seeds.where("qid IS NOT NULL").groupBy("qid", "source", "artifact_id").agg(F.max("score").alias("score"))
+    by_score = Window.partitionBy("qid").orderBy(F.col("score").desc())
+    ranked = best.withColumn("__n", F.row_number().over(by_score.orderBy(F.col("score").desc(), "source", "artifact_id"))).withColumn("__place", F.when(F.col("score").isNotNull(), F.dense_rank().over(by_score)))
+    start = ranked.where(F.col("__n") <= node_budget).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("__place", "source", "artifact_id"))).alias("__start"))
+    return start.select("qid", F.min("qid").over(Window.partitionBy("__start")).alias("walk"))
+
+
 def reverse_dependency_walk(
     seeds: DataFrame, nodes: DataFrame, links: DataFrame, cosines: DataFrame, edge_type: str = "REF", max_depth: int = 2, node_budget: int = 64,
     fan_in_weight: float = 0.0, proximity_weight: float = 0.0,
@@ -108,16 +124,38 @@ def reverse_dependency_walk(
     """From seeds to what depends on them. Score: best cosine + weighted fan-in share + weighted nearness.
 
     ``cosines``: ``(qid, source, artifact_id, score)``. Returns ``(qid, source, artifact_id, depth, score)``
-    of the reached nodes, without the seeds.
+    of the reached nodes, without the seeds. Queries with the same seeds walk once together. A hub's rows, its
+    queries times its dependents, are made where they are put out: blocks of both are shuffled, pairs are not.
     """
-    back = reverse_neighbors(nodes, links, edge_type).select("source", "artifact_id", F.col("from_source").alias("to_source"), F.col("from_id").alias("to_id"))
-    degree = fan_in(nodes, links, edge_type)
+    seeds, back = cut(seeds), cut(reverse_neighbors(nodes, links, edge_type))
+    degree = back.groupBy("source", "artifact_id").agg(F.count(F.lit(1)).alias("fan_in"))
     most = degree.agg(F.max("fan_in").alias("__most"))
     shares = degree.crossJoin(F.broadcast(most)).select("source", "artifact_id", (F.col("fan_in") / F.col("__most")).alias("__share"))
-    walked = traverse(seeds, back, max_depth, node_budget)
-    out = walked.where("depth > 0").drop("score").join(cosines.withColumnRenamed("score", "__cos"), ["qid", "source", "artifact_id"], "left").join(shares, ["source", "artifact_id"], "left")
-    score = F.coalesce("__cos", F.lit(0.0)) + fan_in_weight * F.coalesce("__share", F.lit(0.0)) + proximity_weight / (1.0 + F.col("depth"))
-    return out.select("qid", "source", "artifact_id", "depth", F.round(score, 9).alias("score"))
+    block = (F.row_number().over(Window.partitionBy("walk").orderBy("qid")) - 1) / QUERY_BLOCK
+    asked = cut(shared_walks(seeds, node_budget).withColumn("__q", F.floor(block).cast("int")))
+    step = back.select("source", "artifact_id", F.col("from_source").alias("to_source"), F.col("from_id").alias("to_id"))
+    walked = traverse(seeds.join(asked.where("qid = walk").select("qid"), "qid", "left_semi"), step, max_depth, node_budget)
+    block = (F.row_number().over(Window.partitionBy("walk").orderBy("source", "artifact_id")) - 1) / NODE_BLOCK
+    reached = walked.where("depth > 0").withColumnRenamed("qid", "walk").drop("score").join(shares, ["source", "artifact_id"], "left")
+    reached = cut(reached.withColumn("__w", F.floor(block).cast("int")))
+
+    def score(cosine: Column) -> Column:
+        return F.round(cosine + fan_in_weight * F.coalesce("__share", F.lit(0.0)) + proximity_weight / (1.0 + F.col("depth")), 9).alias("score")
+
+    key = ["walk", "__w", "__q"]
+    with_cosine = cut(cosines.withColumnRenamed("score", "__cos").join(asked, "qid").join(reached, ["walk", "source", "artifact_id"]))
+    skipped = with_cosine.groupBy("walk", "__q", "source", "artifact_id").agg(F.collect_set("qid").alias("__skip"))
+    queries = asked.groupBy("walk", "__q").agg(F.sort_array(F.collect_list("qid")).alias("__qids"))
+    n_queries = asked.groupBy("walk").agg(F.count(F.lit(1)).alias("__queries"), F.max("__q").alias("__last_q"))
+    n_nodes = reached.groupBy("walk").agg(F.count(F.lit(1)).alias("__nodes"), F.max("__w").alias("__last_w"))
+    pairs = n_queries.join(n_nodes, "walk").agg(F.sum(F.col("__queries") * F.col("__nodes"))).first()[0] or 0
+    tasks = max(int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+    wide = reached.join(n_queries, "walk").withColumn("__q", F.explode(F.sequence(F.lit(0), "__last_q"))).join(skipped, ["walk", "__q", "source", "artifact_id"], "left")
+    wide = wide.select(*key, "source", "artifact_id", "depth", score(F.lit(0.0)), "__skip").repartition(tasks, *key)
+    queries = queries.join(n_nodes, "walk").withColumn("__w", F.explode(F.sequence(F.lit(0), "__last_w"))).select(*key, "__qids").repartition(tasks, *key)
+    rest = F.when(F.col("__skip").isNull(), F.col("__qids")).otherwise(F.array_except("__qids", "__skip"))
+    plain = wide.join(queries, key).select(F.explode(rest).alias("qid"), "source", "artifact_id", "depth", "score")
+    return plain.unionByName(with_cosine.select("qid", "source", "artifact_id", "depth", score(F.coalesce("__cos", F.lit(0.0)))))
 
 
 def tree_seeds(hits: DataFrame, seed_k: int = 10) -> DataFrame:
